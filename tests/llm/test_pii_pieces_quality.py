@@ -1,0 +1,145 @@
+import random
+import re
+
+import numpy as np
+import pytest
+from tests.llm import brute
+
+from archloom.llm import queries
+from archloom.llm.boosting import BoostedTrees
+from archloom.llm.pii import base_spans, examples, find_all, find_pii, joined, luhn, redacted, trained
+from archloom.llm.quality_model import label_model, quality_model
+from archloom.llm.segmentation import Vocabulary, decode_ids, encode_texts
+
+
+def by_id(df):
+    return {r[0]: tuple(r[1:]) for r in df.collect()}
+
+
+def base(text):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = re.sub("[^0-9]", "", m[0])
+        out += [("card", *m.span())] * (12 <= len(digits) <= 19 and luhn(digits))
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+
+
+def test_base_spans_equal_the_patterns():
+    r = random.Random(5)
+    for _ in range(20_000):
+        text = "".join(r.choice("a1.@-+ (2é") for _ in range(r.randint(0, 40)))
+        assert sorted(map(tuple, base_spans(text))) == sorted(base(text)), text
+
+
+def test_pii_rows(spark):
+    docs = spark.read.parquet(f"{brute.SF}/documents.parquet")
+    got = by_id(queries.op1_pii(spark, brute.SF))
+    kinds = ("email", "ip", "card", "phone")
+    for d, text in brute.rows_of(docs):
+        spans = sorted(base(text or ""), key=lambda s: (s[1], kinds.index(s[0])))
+        assert got[d][:4] == tuple(sum(s[0] == k for s in spans) for k in kinds)
+        assert got[d][4] == brute.sha(",".join(f"{k}:{a}:{b}" for k, a, b in spans))
+        assert {f"{k}:{a}:{b}" for k, a, b in spans} <= set(got[d][5].split(",")) | {""}
+
+
+def test_pii_of_odd_rows(spark):
+    got = by_id(find_pii(brute.with_clashes(brute.odd(spark), "spans", "n_ip")))
+    assert len(got) == len(brute.ODD) and got[1][:5] == (0, 0, 0, 0, brute.sha("")) and got[1][-1] == ""
+    assert find_pii(brute.empty(spark)).count() == 0
+
+
+def test_boosted_trees_find_held_out_spans():
+    model, thresholds = trained()
+    right = 0
+    made = examples(1500, 99)
+    for text, label in made:
+        (b, a), = find_all([text], model, thresholds)
+        right += (len(a) > len(b) or bool(b)) == label
+    assert right / len(made) > 0.9
+    (b, a), = find_all(["mail bob.k (at) example (dot) org, card 4111 1111 1111 1111"], model, thresholds)
+    assert joined(b) == "card:40:59" and len(a) == 2
+    assert redacted("x 4111 1111 1111 1111 y", b and [b[0]._replace(start=2, end=21)]) == "x [card] y"
+    x = np.random.default_rng(1).random((400, 3))
+    y = (x[:, 0] > 0.5).astype(float)
+    assert ((BoostedTrees(rounds=10).fit(x, y).predict(x) > 0.5) == (y > 0)).mean() > 0.98
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return Vocabulary(queries.PIECES)
+
+
+def every(v, unit):
+    out = []
+
+    def go(i, ids, score):
+        if i == len(unit):
+            out.append((score, tuple(ids)))
+        for e in range(i + 1, len(unit) + 1):
+            if p := v.pieces.get(unit[i:e]):
+                go(e, [*ids, p[0]], score + p[1])
+        if i < len(unit) and unit[i] not in v.pieces:
+            go(i + 1, [*ids, *v.spell(unit[i])], score + v.unknown)
+
+    go(0, [], 0.0)
+    return sorted(out, key=lambda x: -x[0])
+
+
+def test_units_equal_all_segmentations(vocabulary):
+    for unit in (" the", " theatorble", "  a", "ñ①x", "   ", "aaaaaaa", "\n", " x\t", "ing"):
+        want, got = every(vocabulary, unit), vocabulary.search(unit)
+        assert [s for s, _ in got] == [s for s, _ in want[:4]]
+        best = vocabulary.best(unit)
+        assert (best.score, best.ids) == got[0] and (len(got) == 1 or best.loss == got[0][0] - got[1][0])
+
+
+def test_texts_equal_all_segmentations(vocabulary):
+    for text in ("the cat", "is it on", "a\nbe"):
+        units = vocabulary.units(text)
+        whole = [(0.0, ())]
+        for unit in units:
+            whole = [(s + t, a + b) for s, a in whole for t, b in every(vocabulary, unit)]
+        want = sorted((s for s, _ in whole), reverse=True)[:4]
+        score, ids, mixes = vocabulary.encode(text)
+        assert [score, *(score - loss for loss, _ in mixes)] == want
+        assert vocabulary.decode(ids) == text
+        for loss, edits in mixes:
+            parts = [vocabulary[u].ids for u in units]
+            for i, own in edits:
+                parts[i] = own
+            assert vocabulary.decode([x for p in parts for x in p]) == text and (score - loss, tuple(x for p in parts for x in p)) in whole
+
+
+def test_encode_and_decode_rows(spark):
+    for docs in (brute.with_clashes(brute.odd(spark), "ids", "score"), spark.read.parquet(f"{brute.SF}/documents.parquet")):
+        out = decode_ids(encode_texts(docs, queries.PIECES), queries.PIECES).collect()
+        want = {d: (t or "").replace("▁", " ") for d, t in brute.rows_of(docs)}
+        assert {r.doc_id: r.text for r in out} == want and all(r.round_trip and r.n_pieces == len(r.ids) for r in out)
+    assert encode_texts(brute.empty(spark), queries.PIECES).count() == 0
+
+
+def test_label_model_finds_the_odd_labeller():
+    r = np.random.default_rng(3)
+    patterns = {}
+    for _ in range(4000):
+        good = r.random() < 0.7
+        signs = [good if r.random() < q else not good for q in (0.95, 0.9, 0.9, 0.85, 0.9, 0.9, 0.55, 0.9)]
+        key = "".join("+" if s else "-" for s in signs)
+        patterns[key] = patterns.get(key, 0) + 1
+    posterior, accuracy = label_model(patterns)
+    assert posterior["++++++++"] > 0.99 and posterior["--------"] < 0.01
+    assert min(accuracy, key=accuracy.get) == "repeated_words" and accuracy["length"] > 0.9
+    assert label_model({}) == ({}, {})
+
+
+def test_quality_model_agrees_with_held_out_labels(spark):
+    folder = "/root/testdata/sf0.01"
+    got = {r.doc_id: r.kept for r in queries.op6_quality_model(spark, folder).collect()}
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{folder}/labels.parquet").collect()]
+    assert sum(got[d] == (q == 1) for d, q in labels) / len(labels) > 0.9
+
+
+def test_quality_model_of_odd_rows(spark):
+    assert quality_model(brute.with_clashes(brute.odd(spark), "votes", "_draw")).count() == len(brute.ODD)
+    assert quality_model(brute.empty(spark)).count() == 0
