@@ -2,8 +2,8 @@
 
 No piece of the vocabulary holds a space mark after another character, nor a line feed, so the tokenizer returns to its
 start state at those places: they are synchronising transitions. Between them a unit is read by a deterministic
-transducer whose states are unit prefixes and whose transitions carry the change in emitted tokens; the sum along a
-unit's path is its token count. States are compiled when first reached and whole units are kept as single
+transducer whose states are unit prefixes and whose transitions, of up to `stride` characters, carry the change in
+emitted tokens; the sum along a unit's path is its token count. States are compiled when first reached and whole units are kept as single
 transitions. A chunk of text is thus a map from the entry state, held as (head, tokens, tail); such
 maps compose associatively, and a long text is the parallel prefix scan of its chunks.
 """
@@ -50,11 +50,11 @@ class ChunkMap(NamedTuple):
 
 
 class Transducer:
-    def __init__(self, model_file: str, most_units: int = 200_000, most_states: int = 200_000) -> None:
+    def __init__(self, model_file: str, most_units: int = 200_000, most_states: int = 200_000, stride: int = 4) -> None:
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        self.most_units, self.most_states = most_units, most_states
+        self.most_units, self.most_states, self.stride = most_units, most_states, stride
         pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
         if any("\n" in p or MARK in p.lstrip(MARK) for p in pieces):
             raise ValueError("this vocabulary doesn't synchronise at spaces and line feeds")
@@ -77,11 +77,12 @@ class Transducer:
             self.states += 1
             self.starts[lead] = self.states
         state, total, before = self.starts[lead], 0, 0
-        for at, sign in enumerate(unit, 1):
-            step = self.transitions.get((state, sign))
+        for at in range(0, len(unit), self.stride):
+            signs = unit[at : at + self.stride]
+            step = self.transitions.get((state, signs))
             if step is None:
                 self.states += 1
-                step = self.transitions[state, sign] = (self.states, len(self.library.encode(lead + unit[:at])) - own - before)
+                step = self.transitions[state, signs] = (self.states, len(self.library.encode(lead + unit[:at] + signs)) - own - before)
             state = step[0]
             before = total = total + step[1]
         return total
