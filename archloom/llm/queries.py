@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from archloom.llm.common import table
 from archloom.llm.decontamination import decontaminate
 from archloom.llm.line_dedup import line_dedup
+from archloom.llm.near_dedup import near_dedup
 from archloom.llm.pii import find_pii
 from archloom.llm.quality_model import quality_model
 from archloom.llm.quality_rules import quality_rules
@@ -48,8 +49,12 @@ def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model(table(spark, sf_dir, "documents"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_decontamination, op3_line_dedup, op4_segmentation, op5_token_counts, op6_quality_model, op9_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_decontamination, op3_line_dedup, op4_segmentation, op5_token_counts, op6_quality_model, op7_near_dedup, op9_quality_rules)}
