@@ -5,8 +5,9 @@
 2. In each band bucket every member is tried against the bucket's least member: as many pairs as members.
    A pair goes on if the bit count of its packed signatures, corrected for chance agreement, allows the threshold.
 3. Pairs that go on are confirmed by the exact intersection of their sets; links make components.
-4. Buckets that still hold several components are compared across components in square blocks of bounded size,
-   inside which only pairs that the signatures allow leave the task; these are confirmed in the same way.
+4. Buckets that still hold several components are compared in square blocks of bounded size; components that the
+   signatures don't keep apart form clusters, and in each cluster the full sets decide, again in blocks.
+   From either comparison only rows leave that join what was apart.
 So no link between different texts is lost, and no bucket is expanded into all its pairs.
 """
 
@@ -41,6 +42,8 @@ class NearRules:
     sigmas: float = 6.0
     #: members of a bucket compared in one task
     block: int = 4096
+    #: full sets compared in one task
+    set_block: int = 1024
 
     @property
     def minima(self) -> int:
@@ -180,37 +183,103 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_column: str, text_column: st
     return both.select("a", "b", "sa", "sb").mapInArrow(check, pairs.schema)
 
 
+def in_blocks(members: DataFrame, key: str, block: int):
+    """members grouped so that any two of a key meet in one group of at most two blocks; larger keys are split."""
+    sizes = members.groupBy(key).agg(F.count("*").alias("_m"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).where(F.col("_lo") != F.col("_hi"))
+    blocks = F.ceil(F.col("_m") / block).cast("int")
+    placed = members.join(sizes.select(key, blocks.alias("_blocks")), key).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int"))
+    spread = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return spread.withColumn("_i", F.least("own", "_other")).withColumn("_j", F.greatest("own", "_other")).drop("_blocks", "_other").groupBy(key, "_i", "_j")
+
+
+class Forest:
+    """Union of labels; join() tells whether two were apart."""
+
+    def __init__(self) -> None:
+        self.up: dict = {}
+
+    def root(self, x):
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x, y) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def sides(part: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The one or two blocks of a group."""
+    own = part["own"].to_numpy()
+    lo, hi = own.min(), own.max()
+    return part[own == lo].reset_index(drop=True), part[own == hi].reset_index(drop=True)
+
+
+def allowed(x: pd.DataFrame, y: pd.DataFrame, rules: NearRules) -> Iterator[tuple[int, np.ndarray]]:
+    """For stretches of x: their offset and which pairs of different components the signatures allow."""
+    sx, sy = (np.stack(p["sig"].to_numpy()).astype(np.int64).view(np.uint64) for p in (x, y))
+    cx, cy = x["component"].to_numpy(), y["component"].to_numpy()
+    mask, most = np.array([field_mask(rules.bits)], dtype=np.int64).view(np.uint64)[0], rules.most_mismatches()
+    step = max(1, (1 << 20) // len(y))
+    for at in range(0, len(x), step):
+        differ = np.zeros((len(sx[at : at + step]), len(y)), dtype=np.int32)
+        for w in range(sx.shape[1]):
+            d = sx[at : at + step, None, w] ^ sy[None, :, w]
+            folded = d.copy()
+            for k in range(1, rules.bits):
+                folded |= d >> U(k)
+            differ += np.bitwise_count(folded & mask)
+        yield at, (differ <= most) & (cx[at : at + step, None] != cy[None, :])
+
+
 def across(members: DataFrame, rules: NearRules) -> DataFrame:
-    """Pairs of one bucket and different components that the signatures allow. members: key, rep, sig, component."""
+    """Links (a, b) between components that some bucket holds together and the signatures allow: within a task only
+    as many as join what was apart, so at most one less than there are components."""
+    kind = members.schema["component"].dataType.simpleString()
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        x, y = sides(part)
+        cx, cy, forest, out = x["component"].tolist(), y["component"].tolist(), Forest(), []
+        for at, may in allowed(x, y, rules):
+            pairs = {(cx[at + i], cy[j]) for i, j in zip(*(k.tolist() for k in np.nonzero(may)), strict=True)}
+            out += [(min(p), max(p)) for p in sorted(pairs) if forest.join(*p)]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return in_blocks(members, "key", rules.block).applyInPandas(compare, f"a {kind}, b {kind}").distinct()
+
+
+def settled(members: DataFrame, rules: NearRules) -> DataFrame:
+    """Confirmed links (a, b) between different components of a cluster, again only those that join what was apart.
+
+    members: cluster, rep, component, sig, set. A row of x marks its shingles; the marks under each set of y are summed.
+    """
     kind = members.schema["rep"].dataType.simpleString()
-    sizes = members.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi"))
-    blocks = F.ceil(F.col("m") / rules.block)
-    placed = members.join(sizes.select("key", blocks.cast("int").alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    grouped = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "sig").groupBy("key", "i", "j")
-    most, bits, mask = rules.most_mismatches(), rules.bits, np.array([field_mask(rules.bits)], dtype=np.int64).view(np.uint64)[0]
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
-        square = part["own"].iloc[0] == part["own"].iloc[-1] and part["own"].nunique() == 1
-        x = part if square else part[part["own"] == part["own"].min()]
-        y = part if square else part[part["own"] != part["own"].min()]
-        sx, sy = (np.stack(p["sig"].to_numpy()).view(np.uint64) for p in (x, y))
-        cx, cy, rx, ry = x["component"].to_numpy(), y["component"].to_numpy(), x["rep"].to_numpy(), y["rep"].to_numpy()
-        out = []
-        step = max(1, (1 << 21) // max(1, len(ry)))
-        for at in range(0, len(rx), step):
-            differ = np.zeros((len(rx[at : at + step]), len(ry)), dtype=np.int32)
-            for w in range(sx.shape[1]):
-                d = sx[at : at + step, None, w] ^ sy[None, :, w]
-                folded = d.copy()
-                for k in range(1, bits):
-                    folded |= d >> U(k)
-                differ += np.bitwise_count(folded & mask)
-            i, j = np.nonzero((differ <= most) & (cx[at : at + step, None] != cy[None, :]))
-            out.append(pd.DataFrame({"a": np.minimum(rx[at + i], ry[j]), "b": np.maximum(rx[at + i], ry[j])}))
-        return pd.concat(out).drop_duplicates()
-
-    return grouped.applyInPandas(compare, f"a {kind}, b {kind}").distinct()
+        x, y = sides(part)
+        cx, cy, rx, ry = x["component"].tolist(), y["component"].tolist(), x["rep"].tolist(), y["rep"].tolist()
+        sizes = np.array([len(s) for s in y["set"]])
+        names, ids = np.unique(np.concatenate(y["set"].to_numpy()), return_inverse=True)
+        start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        forest, out = Forest(), []
+        for at, may in allowed(x, y, rules):
+            for i in np.flatnonzero(may.any(axis=1)).tolist():
+                js = [j for j in np.flatnonzero(may[i]).tolist() if forest.root(cx[at + i]) != forest.root(cy[j])]
+                if not js:
+                    continue
+                own = np.asarray(x["set"][at + i])
+                place = np.searchsorted(names, own)
+                place[place == len(names)] = 0
+                marks = np.zeros(len(names), dtype=np.int32)
+                marks[place[names[place] == own]] = 1
+                common = np.add.reduceat(marks[ids], start)[js]
+                good = 100 * common >= rules.min_pct * (len(own) + sizes[js] - common)
+                out += [(rx[at + i], ry[j]) for j, g in zip(js, good.tolist(), strict=True) if g and forest.join(cx[at + i], cy[j])]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return in_blocks(members, "cluster", rules.set_block).applyInPandas(compare, f"a {kind}, b {kind}").distinct()
 
 
 def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rules: NearRules = NearRules()) -> DataFrame:
@@ -236,13 +305,17 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     links = materialise(confirmed(likely, docs, id_column, text_column, rules))
     groups = connected_components(links)
 
-    shared = buckets.join(pivots.select("key"), "key", "left_semi").join(speakers.select("rep", "sig"), "rep")
-    members = shared.join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    further = materialise(across(members, rules).join(likely, ["a", "b"], "left_anti"))
+    component = F.coalesce("component", "rep").alias("component")
+    placed = speakers.join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left").select("rep", "keys", "sig", component)
+    shared = placed.select(F.explode("keys").alias("key"), "rep", "sig", "component").join(pivots.select("key"), "key", "left_semi")
+    clusters = connected_components(across(shared, rules))
     same_id = known.join(reps, "same").select(F.col("id").alias("a"), F.col("rep").alias("b")).where(F.col("a") != F.col("b")).distinct()
-    if further.limit(1).count():
-        links = links.unionByName(confirmed(further, docs, id_column, text_column, rules))
-        groups = connected_components(links)
+    if clusters.limit(1).count():
+        apart = placed.drop("keys").join(clusters.select(F.col("id").alias("component"), F.col("component").alias("cluster")), "component")
+        apart = materialise(apart)
+        sets = full_sets(docs.join(apart.select(F.col("rep").alias(id_column)), id_column, "left_semi"), id_column, text_column, rules).dropDuplicates(["id"])
+        found = settled(apart.join(sets.withColumnRenamed("id", "rep"), "rep"), rules)
+        groups = connected_components(links.unionByName(found))
     # sets that were equal from the start hang on their speaker
     final = connected_components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(same_id)) if _repeats(known) else None
     if final is not None:

@@ -35,16 +35,18 @@ def test_chains_and_large_groups(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute.near_components(rows)
     assert by_id(near_dedup(brute.with_clashes(docs, "n", "key", "sig", "component"))) == want
-    assert by_id(near_dedup(docs, rules=NearRules(block=16))) == want
+    assert by_id(near_dedup(docs, rules=NearRules(block=16, set_block=16))) == want
     assert len({c for _, c, _ in want.values()}) > 5
 
 
-def test_buckets_in_blocks_find_all_allowed_pairs(spark):
-    rules = NearRules(block=8)
-    rows = [(7, i, [0 if i % 2 else -1] * 6, i) for i in range(50)]
+def test_buckets_in_blocks_join_what_the_signatures_allow(spark):
+    rows = [(7, i, [0 if i % 2 else -1] * 6, i) for i in range(50)] + [(8, 99, [0] * 6, 99)]
     members = spark.createDataFrame(rows, "key long, rep long, sig array<long>, component long")
-    got = {(r.a, r.b) for r in across(members, rules).collect()}
-    assert got == {(a, b) for a in range(50) for b in range(50) if a < b and a % 2 == b % 2}
+    for block in (8, 4096):
+        edges = across(members, NearRules(block=block))
+        got = {r.id: r.component for r in connected_components(edges).collect()}
+        assert got == {i: i % 2 for i in range(50)}
+        assert edges.count() <= 48 if block == 4096 else True
 
 
 def test_odd_rows(spark):
