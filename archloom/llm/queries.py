@@ -16,6 +16,8 @@ from archloom.llm.pii import find_pii
 from archloom.llm.quality_model import quality_model
 from archloom.llm.quality_rules import quality_rules
 from archloom.llm.segmentation import encode_texts
+from archloom.llm.substring_dedup import substring_dedup
+from archloom.llm.suffix_dedup import suffix_dedup
 from archloom.llm.token_counts import token_counts
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -53,8 +55,16 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_decontamination, op3_line_dedup, op4_segmentation, op5_token_counts, op6_quality_model, op7_near_dedup, op9_quality_rules)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_decontamination, op3_line_dedup, op4_segmentation, op5_token_counts, op6_quality_model, op7_near_dedup, op8_suffix_dedup, op9_quality_rules, op10_substring_dedup)}
