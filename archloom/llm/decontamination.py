@@ -115,15 +115,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
 
     Columns: id, n_words, n_hit, n_items, items (sorted as strings), contaminated.
     """
-    items = benchmark.where(F.col(item_column).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_column).cast("string").alias("i"), F.col(item_text).alias("t"))
-    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = 1 + total // block_bytes
-    found = None
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block) if blocks > 1 else items
-        rows = [(r.i, r.t.encode()) for r in part.collect()]
-        one = _scanned(only(docs, id_column, text_column), docs.sparkSession.sparkContext.broadcast(rows), id_column, text_column, size)
-        found = one if found is None else found.unionByName(one)
+    found, blocks = None, 0
+    for rows in item_blocks(benchmark, item_column, item_text, block_bytes):
+        one = _scanned(only(docs, id_column, text_column), rows, id_column, text_column, size)
+        found, blocks = (one if found is None else found.unionByName(one)), blocks + 1
     if blocks > 1:
         found = found.groupBy(id_column).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("ranges")).alias("ranges"), F.flatten(F.collect_list("items")).alias("items"))
     items_of = F.array_sort(F.array_distinct("items"))
@@ -131,6 +126,29 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     return counted.withColumn("contaminated", F.col("n_hit") > 0)
 
 
+def item_blocks(benchmark: DataFrame, item_column: str, item_text: str, block_bytes: int) -> Iterator:
+    """Broadcasts of [(item, text)], each of about `block_bytes` of text."""
+    items = benchmark.where(F.col(item_column).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_column).cast("string").alias("i"), F.col(item_text).alias("t"))
+    blocks = 1 + (items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // block_bytes
+    for block in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block) if blocks > 1 else items
+        yield benchmark.sparkSession.sparkContext.broadcast([(r.i, r.t.encode()) for r in part.collect()])
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text: str = "text", size: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
+    """The rows of docs, with all their columns, in whose text no benchmark window occurs."""
+    for rows in item_blocks(benchmark, item_column, item_text, block_bytes):
+
+        def clean(batches: Iterator[pa.RecordBatch], rows=rows) -> Iterator[pa.RecordBatch]:
+            scanner = Scanner(rows.value, size)
+            for batch in batches:
+                texts = batch.column(text_column).cast(pa.large_binary())
+                yield batch.filter(pa.array([not scanner.scan(words_of(t.as_py() or b""))[0] for t in texts], type=pa.bool_()))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
+
+
 def _scanned(docs: DataFrame, rows, id_column: str, text_column: str, size: int) -> DataFrame:
     kind = docs.schema[id_column].dataType.simpleString()
 

@@ -89,16 +89,17 @@ def line_fails(line: Column, rules: LineRules) -> Column:
     return let(spaced, judged)
 
 
-def quality_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rules: LineRules = LineRules(), with_text: bool = False) -> DataFrame:
+def quality_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rules: LineRules = LineRules(), with_text: bool = False, carry: bool = False) -> DataFrame:
     """One row a document: the counts, the verdict and, with_text, what is left of the text.
 
     Null and empty texts have no words, fail the base rule and are rejected; repeated rows are judged alike, each
     for itself; an empty table gives an empty result. Further columns of the input are ignored.
     Columns: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_failed_lines, lost_chars,
-    base_failed, kept, and clean_text.
+    base_failed, kept, and clean_text. carry adds `row`, a struct of the input's columns.
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
-    seen = docs.select(F.col(id_column), text.alias("_text"))
+    carried = ["_row"] * carry
+    seen = docs.select(F.col(id_column), text.alias("_text"), *([F.struct(*docs.columns).alias("_row")] * carry))
     has_word = lambda line: F.length(F.translate(line, SPACE, "")) > 0
     per_words = let(words(F.col("_text")), lambda ws: F.struct(F.size(ws).alias("n"), repeated_words(ws).alias("r")))
 
@@ -120,6 +121,7 @@ def quality_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     parts = seen.select(
         id_column,
+        *carried,
         per_words.alias("w"),
         let(F.split("_text", "\n"), by_line).alias("l"),
         F.length(F.translate("_text", SPACE, "")).cast("long").alias("word_chars"),
@@ -140,4 +142,5 @@ def quality_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         base_failed.alias("base_failed"),
         (~base_failed & (lost * 100 <= F.col("word_chars") * rules.max_lost_pct)).alias("kept"),
         *([F.col("l.clean").alias("clean_text")] * with_text),
+        *(F.col(c).alias("row") for c in carried),
     )
