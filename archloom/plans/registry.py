@@ -1,10 +1,6 @@
 """All queries of the graph engine by name, with the SQL that checks them."""
 
-from __future__ import annotations
+from archloom.plans.oracles import ORACLES
+from archloom.plans.queries import QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
