@@ -36,8 +36,18 @@ def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows in an Arrow batch of texts: the default of 10,000 holds tens of MB in several buffers of each task.
+BATCH_ROWS = 1000
+
+
 def only(df: DataFrame, *columns: str) -> DataFrame:
-    """The named columns alone, so that further columns of the input can't clash with an operator's own."""
+    """The named columns alone, so that further columns of the input can't clash with an operator's own.
+
+    Also bounds the session's Arrow batches, which from here on carry whole texts.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
     return df.select(*[F.col(c) for c in columns])
 
 
