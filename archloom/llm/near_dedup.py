@@ -183,31 +183,33 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_column: str, text_column: st
     return both.select("a", "b", "sa", "sb").mapInArrow(check, pairs.schema)
 
 
-def in_blocks(members: DataFrame, key: str, block: int):
-    """members grouped so that any two of a key meet in one group of at most two blocks; larger keys are split."""
+def in_blocks(members: DataFrame, key: str, block: int, attached: DataFrame):
+    """members (key, rep, component) of keys with several components, grouped so that any two of a key meet in one
+    group of at most two blocks; larger keys are split. `attached` adds what it has for each rep."""
     sizes = members.groupBy(key).agg(F.count("*").alias("_m"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).where(F.col("_lo") != F.col("_hi"))
     blocks = F.ceil(F.col("_m") / block).cast("int")
     placed = members.join(sizes.select(key, blocks.alias("_blocks")), key).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int"))
-    spread = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    spread = placed.join(attached, "rep").withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     return spread.withColumn("_i", F.least("own", "_other")).withColumn("_j", F.greatest("own", "_other")).drop("_blocks", "_other").groupBy(key, "_i", "_j")
 
 
 class Forest:
-    """Union of labels; join() tells whether two were apart."""
+    """Union of labels held in one array; join() gives one place for each group of others that was still apart."""
 
-    def __init__(self) -> None:
-        self.up: dict = {}
+    def __init__(self, x: np.ndarray, y: np.ndarray) -> None:
+        names, codes = np.unique(np.concatenate([x, y]), return_inverse=True)
+        self.x, self.y, self.label = codes[: len(x)], codes[len(x) :], np.arange(len(names))
 
-    def root(self, x):
-        while (y := self.up.get(x, x)) != x:
-            self.up[x] = self.up.get(y, y)
-            x = y
-        return x
+    def apart(self, i: int, js: np.ndarray) -> np.ndarray:
+        return js[self.label[self.y[js]] != self.label[self.x[i]]]
 
-    def join(self, x, y) -> bool:
-        x, y = self.root(x), self.root(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
+    def join(self, i: int, js: np.ndarray) -> np.ndarray:
+        js = self.apart(i, js)
+        if len(js):
+            others, first = np.unique(self.label[self.y[js]], return_index=True)
+            self.label[np.isin(self.label, others)] = self.label[self.x[i]]
+            js = js[first]
+        return js
 
 
 def sides(part: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
@@ -234,40 +236,41 @@ def allowed(x: pd.DataFrame, y: pd.DataFrame, rules: NearRules) -> Iterator[tupl
         yield at, (differ <= most) & (cx[at : at + step, None] != cy[None, :])
 
 
-def across(members: DataFrame, rules: NearRules) -> DataFrame:
+def across(members: DataFrame, sigs: DataFrame, rules: NearRules) -> DataFrame:
     """Links (a, b) between components that some bucket holds together and the signatures allow: within a task only
     as many as join what was apart, so at most one less than there are components."""
     kind = members.schema["component"].dataType.simpleString()
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         x, y = sides(part)
-        cx, cy, forest, out = x["component"].tolist(), y["component"].tolist(), Forest(), []
+        cx, cy = x["component"].to_numpy(), y["component"].to_numpy()
+        forest, out = Forest(cx, cy), []
         for at, may in allowed(x, y, rules):
-            pairs = {(cx[at + i], cy[j]) for i, j in zip(*(k.tolist() for k in np.nonzero(may)), strict=True)}
-            out += [(min(p), max(p)) for p in sorted(pairs) if forest.join(*p)]
+            for i in np.flatnonzero(may.any(axis=1)).tolist():
+                out += [(cx[at + i], c) for c in cy[forest.join(at + i, np.flatnonzero(may[i]))].tolist()]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return in_blocks(members, "key", rules.block).applyInPandas(compare, f"a {kind}, b {kind}").distinct()
+    return in_blocks(members, "key", rules.block, sigs).applyInPandas(compare, f"a {kind}, b {kind}").distinct()
 
 
-def settled(members: DataFrame, rules: NearRules) -> DataFrame:
+def settled(members: DataFrame, sigs: DataFrame, sets: DataFrame, rules: NearRules) -> DataFrame:
     """Confirmed links (a, b) between different components of a cluster, again only those that join what was apart.
 
-    members: cluster, rep, component, sig, set. A row of x marks its shingles; the marks under each set of y are summed.
+    members: cluster, rep, component. A row of x marks its shingles; the marks under each set of y are summed.
     """
     kind = members.schema["rep"].dataType.simpleString()
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         x, y = sides(part)
-        cx, cy, rx, ry = x["component"].tolist(), y["component"].tolist(), x["rep"].tolist(), y["rep"].tolist()
+        rx, ry = x["rep"].to_numpy(), y["rep"].to_numpy()
         sizes = np.array([len(s) for s in y["set"]])
         names, ids = np.unique(np.concatenate(y["set"].to_numpy()), return_inverse=True)
         start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        forest, out = Forest(), []
+        forest, out = Forest(x["component"].to_numpy(), y["component"].to_numpy()), []
         for at, may in allowed(x, y, rules):
             for i in np.flatnonzero(may.any(axis=1)).tolist():
-                js = [j for j in np.flatnonzero(may[i]).tolist() if forest.root(cx[at + i]) != forest.root(cy[j])]
-                if not js:
+                js = forest.apart(at + i, np.flatnonzero(may[i]))
+                if not len(js):
                     continue
                 own = np.asarray(x["set"][at + i])
                 place = np.searchsorted(names, own)
@@ -276,10 +279,10 @@ def settled(members: DataFrame, rules: NearRules) -> DataFrame:
                 marks[place[names[place] == own]] = 1
                 common = np.add.reduceat(marks[ids], start)[js]
                 good = 100 * common >= rules.min_pct * (len(own) + sizes[js] - common)
-                out += [(rx[at + i], ry[j]) for j, g in zip(js, good.tolist(), strict=True) if g and forest.join(cx[at + i], cy[j])]
+                out += [(rx[at + i], r) for r in ry[forest.join(at + i, js[good])].tolist()]
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return in_blocks(members, "cluster", rules.set_block).applyInPandas(compare, f"a {kind}, b {kind}").distinct()
+    return in_blocks(members, "cluster", rules.set_block, sigs.join(sets, "rep")).applyInPandas(compare, f"a {kind}, b {kind}").distinct()
 
 
 def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rules: NearRules = NearRules()) -> DataFrame:
@@ -296,25 +299,25 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     of = reps.select(F.col("rep").alias("id"), "same")
     speakers = materialise(known.join(of, ["id", "same"], "left_semi").select(F.col("id").alias("rep"), "keys", "sig").dropDuplicates(["rep"]))
 
+    sigs = speakers.select("rep", "sig")
     buckets = speakers.select(F.explode("keys").alias("key"), "rep")
     pivots = buckets.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("m")).where(F.col("m") > 1).select("key", "a")
-    tried = buckets.join(pivots, "key").where(F.col("a") != F.col("rep")).select("a", F.col("rep").alias("b")).distinct()
-    sig = lambda name, out: speakers.select(F.col("rep").alias(name), F.col("sig").alias(out))
+    shared = materialise(buckets.join(pivots, "key"))
+    tried = shared.where(F.col("a") != F.col("rep")).select("a", F.col("rep").alias("b")).distinct()
+    sig = lambda name, out: sigs.select(F.col("rep").alias(name), F.col("sig").alias(out))
     likely = tried.join(sig("b", "y"), "b").join(sig("a", "x"), "a").where(mismatches(F.col("x"), F.col("y"), rules) <= rules.most_mismatches()).select("a", "b")
-    likely = materialise(likely)
-    links = materialise(confirmed(likely, docs, id_column, text_column, rules))
+    links = materialise(confirmed(materialise(likely), docs, id_column, text_column, rules))
     groups = connected_components(links)
 
     component = F.coalesce("component", "rep").alias("component")
-    placed = speakers.join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left").select("rep", "keys", "sig", component)
-    shared = placed.select(F.explode("keys").alias("key"), "rep", "sig", "component").join(pivots.select("key"), "key", "left_semi")
-    clusters = connected_components(across(shared, rules))
+    placed = shared.join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", component)
+    clusters = connected_components(across(placed, sigs, rules))
     same_id = known.join(reps, "same").select(F.col("id").alias("a"), F.col("rep").alias("b")).where(F.col("a") != F.col("b")).distinct()
     if clusters.limit(1).count():
-        apart = placed.drop("keys").join(clusters.select(F.col("id").alias("component"), F.col("component").alias("cluster")), "component")
+        apart = placed.select("rep", "component").distinct().join(clusters.select(F.col("id").alias("component"), F.col("component").alias("cluster")), "component")
         apart = materialise(apart)
         sets = full_sets(docs.join(apart.select(F.col("rep").alias(id_column)), id_column, "left_semi"), id_column, text_column, rules).dropDuplicates(["id"])
-        found = settled(apart.join(sets.withColumnRenamed("id", "rep"), "rep"), rules)
+        found = settled(apart, sigs, sets.withColumnRenamed("id", "rep"), rules)
         groups = connected_components(links.unionByName(found))
     # sets that were equal from the start hang on their speaker
     final = connected_components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(same_id)) if _repeats(known) else None

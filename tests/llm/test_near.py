@@ -41,9 +41,10 @@ def test_chains_and_large_groups(spark):
 
 def test_buckets_in_blocks_join_what_the_signatures_allow(spark):
     rows = [(7, i, [0 if i % 2 else -1] * 6, i) for i in range(50)] + [(8, 99, [0] * 6, 99)]
-    members = spark.createDataFrame(rows, "key long, rep long, sig array<long>, component long")
+    made = spark.createDataFrame(rows, "key long, rep long, sig array<long>, component long")
+    members, sigs = made.drop("sig"), made.select("rep", "sig")
     for block in (8, 4096):
-        edges = across(members, NearRules(block=block))
+        edges = across(members, sigs, NearRules(block=block))
         got = {r.id: r.component for r in connected_components(edges).collect()}
         assert got == {i: i % 2 for i in range(50)}
         assert edges.count() <= 48 if block == 4096 else True
