@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush, nsmallest
 from itertools import chain
 from math import inf
@@ -18,6 +18,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -31,13 +32,19 @@ UNKNOWN_PENALTY = 10
 
 class Segmented(NamedTuple):
     score: float
-    ids: tuple[int, ...]
+    #: piece ids as little-endian 32-bit integers
+    packed: bytes
     #: what the second best loses against the best; infinite if there is none
     loss: float
 
+    @property
+    def ids(self) -> tuple[int, ...]:
+        return tuple(np.frombuffer(self.packed, dtype="<i4").tolist())
+
 
 class Vocabulary(dict):
-    """Unit to Segmented, worked out on demand; holds a bounded number of units."""
+    """Unit to Segmented, worked out on demand. Holds two generations of a bounded number of units: when the young
+    one is full it becomes the old one, and units found there come back, so frequent ones stay."""
 
     def __init__(self, model_file: str, n_best: int = 4, most_units: int = 200_000) -> None:
         import sentencepiece
@@ -52,6 +59,10 @@ class Vocabulary(dict):
             raise ValueError("this vocabulary has pieces across spaces or line feeds")
         #: every beginning of a piece: its id and score if it is one, else an empty tuple
         self.trie: dict[str, tuple] = {x[:k]: () for x in self.pieces for k in range(1, len(x))} | self.pieces
+        #: the same for every end of a piece
+        packed = {x: (i.to_bytes(4, "little"), score) for x, (i, score) in self.pieces.items()}
+        self.ends: dict[str, tuple] = {x[k:]: () for x in self.pieces for k in range(1, len(x))} | packed
+        self.old: dict[str, Segmented] = {}
         self.rivals: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
         self.bytes = [p.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.unknown = min(s for _, s in self.pieces.values()) - UNKNOWN_PENALTY
@@ -62,43 +73,72 @@ class Vocabulary(dict):
             self.spelled[i] = bytes([b])
 
     def __missing__(self, unit: str) -> Segmented:
-        found = self.best(unit)
-        if len(unit) <= 64:
-            if len(self) >= self.most_units:
-                self.clear()
-            self[unit] = found
-        return found
+        self.prepare([unit])
+        return self[unit]
 
     def best(self, unit: str) -> Segmented:
-        """Forward Viterbi. The second best leaves the best path, read from the end, at one of its places; so its
-        loss is the least gap between the two best ways into a place on that path."""
-        n, trie = len(unit), self.trie
-        first, second, back = [0.0] + [-inf] * n, [-inf] * (n + 1), [(0, ())] * (n + 1)
-        for start in range(n):
-            before, end = first[start], start + 1
-            while end <= n:
-                piece = trie.get(unit[start:end])
-                if piece:
-                    score = before + piece[1]
-                    if score > first[end]:
-                        second[end], first[end], back[end] = first[end], score, (start, piece[:1])
-                    elif score > second[end]:
-                        second[end] = score
-                elif piece is None:
+        return next(self.viterbi([unit]))
+
+    def prepare(self, units: Iterable[str]) -> None:
+        """Works out what isn't held yet, all together."""
+        if len(self) >= self.most_units:
+            self.old = dict(self)
+            self.clear()
+        new = {u for u in set(units) if u not in self}
+        for unit in new.intersection(self.old):
+            self[unit] = self.old[unit]
+        new = sorted(new.difference(self.old))
+        self.update(zip(new, self.viterbi(new), strict=True))
+
+    def viterbi(self, units: list[str]) -> Iterator[Segmented]:
+        """Forward Viterbi over sorted units; a unit goes on from the places it shares with the one before.
+
+        The second best leaves the best path, read from the end, at one of its places; so its loss is the least gap
+        between the two best ways into a place on that path. Of equal ways the longer piece is taken.
+        """
+        get, unknown = self.ends.get, self.unknown
+        first, ways = [0.0], [(inf, 0, b"")]  # by place: best score; its gap to the second, where it starts, its ids
+        before = ""
+        for unit in units:
+            n, same = len(unit), 0
+            for x, y in zip(before, unit):
+                if x != y:
                     break
-                end += 1
-            if unit[start] not in self.pieces:
-                end, score = start + 1, before + self.unknown
-                if score > first[end]:
-                    second[end], first[end], back[end] = first[end], score, (start, self.spell(unit[start]))
-                elif score > second[end]:
-                    second[end] = score
-        path, at, loss = [], n, inf
-        while at:
-            loss = min(loss, first[at] - second[at])
-            at, ids = back[at]
-            path.append(ids)
-        return Segmented(first[n], tuple(chain.from_iterable(reversed(path))), loss)
+                same += 1
+            del first[same + 1 :], ways[same + 1 :]
+            before = unit
+            for end in range(same + 1, n + 1):
+                at = end - 1
+                found = get(unit[at])
+                second = -inf
+                if found:
+                    own, best = found
+                    best += first[at]
+                else:
+                    own, best = b"".join(i.to_bytes(4, "little") for i in self.spell(unit[at])), first[at] + unknown
+                if found is not None:
+                    start = at - 1
+                    while start >= 0:
+                        found = get(unit[start:end])
+                        if found:
+                            score = first[start] + found[1]
+                            if score >= best:
+                                best, second, at, own = score, best, start, found[0]
+                            elif score > second:
+                                second = score
+                        elif found is None:
+                            break
+                        start -= 1
+                first.append(best)
+                ways.append((best - second, at, own))
+            path, at, loss = [], n, inf
+            while at:
+                gap, at, own = ways[at]
+                if gap < loss:
+                    loss = gap
+                path.append(own)
+            path.reverse()
+            yield Segmented(first[n], b"".join(path), loss)
 
     def spell(self, sign: str) -> tuple[int, ...]:
         return tuple(self.bytes[b] for b in sign.encode())
@@ -157,23 +197,49 @@ class Vocabulary(dict):
     def units(self, text: str) -> list[str]:
         return UNIT.findall(" " + (text.replace(MARK, " ") if MARK in text else text)) if text else []
 
-    def encode(self, text: str) -> tuple[float, list[int], list[tuple[float, list[tuple[int, tuple[int, ...]]]]]]:
-        """Best score and ids, and the further hypotheses as (loss, [(unit number, its other ids)])."""
-        units = self.units(text)
-        parts = [self[u] for u in units]
-        ids = list(chain.from_iterable([p.ids for p in parts]))
-        cheap = dict(nsmallest(self.n_best - 1, {u: p.loss for u, p in zip(units, parts, strict=True) if p.loss < inf}.items(), key=lambda x: (x[1], x[0])))
-        places = nsmallest(self.n_best - 1, ((cheap[u], i) for i, u in enumerate(units) if u in cheap))
+    def encode_all(self, texts: list[str]) -> Iterator[tuple[float, bytes, list[tuple[float, list[tuple[int, tuple[int, ...]]]]]]]:
+        """For each text the best score and packed ids, and the further hypotheses as (loss, [(unit number, other ids)])."""
+        split = [self.units(text) for text in texts]
+        self.prepare(chain.from_iterable(split))
+        yield from map(self.encode_units, split)
+        for unit in {u for units in split for u in units if len(u) > 64}:  # rare: none is kept
+            del self[unit]
+
+    def encode_units(self, units: list[str]):
+        if not units:
+            return 0.0, b"", []
+        scores, packed, losses = zip(*map(self.__getitem__, units), strict=True)
+        # the n_best - 1 cheapest single changes; a hypothesis that changes any other unit loses to all of these
+        lost, some = np.array(losses), min(self.n_best - 1, len(units))
+        near = np.flatnonzero(lost <= np.partition(lost, some - 1)[some - 1])
+        places = [int(i) for i in near[np.argsort(lost[near], kind="stable")][:some] if lost[i] < inf]
         mixes: list[tuple[float, list[tuple[int, tuple[int, ...]]]]] = [(0.0, [])]
-        for _, i in sorted(places, key=lambda x: x[1]):
+        for i in sorted(places):
             mixes = nsmallest(self.n_best, [(c + loss, e + own) for c, e in mixes for loss, own in ((0.0, []), *((x, [(i, o)]) for x, o in self.others(units[i])))])
-        return sum(p.score for p in parts), ids, mixes[1:]
+        return sum(scores), b"".join(packed), mixes[1:]
 
-    def decode(self, ids: list[int]) -> str:
+    def encode(self, text: str):
+        return next(self.encode_all([text]))
+
+    def decode(self, ids: Iterable[int]) -> str:
         """The text of a segmentation; bytes that form no character become U+FFFD."""
         return b"".join(map(self.spelled.__getitem__, ids)).decode(errors="replace")[1:]
 
 
+def sliced(batches: Iterator[pa.RecordBatch], text_column: str, rows: int = 1024, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most `rows` rows and about `limit` bytes of text; a longer text comes alone."""
+    for batch in batches:
+        sizes = [n or 0 for n in pc.binary_length(batch.column(text_column)).to_pylist()]
+        start = total = 0
+        for i, n in enumerate(sizes):
+            if i > start and (i - start >= rows or total + n > limit):
+                yield batch.slice(start, i - start)
+                start, total = i, 0
+            total += n
+        if sizes:
+            yield batch.slice(start)
+
+
 def encode_texts(docs: DataFrame, model_file: str, id_column: str = "doc_id", text_column: str = "text", n_best: int = 4, with_ids: bool = True) -> DataFrame:
     """The best segmentation of every whole text, its n_best - 1 rivals, and whether decoding gives the text back.
 
@@ -190,15 +256,14 @@ def encode_texts(docs: DataFrame, model_file: str, id_column: str = "doc_id", te
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(model_file, n_best)
         rivals_type = pa.list_(pa.struct([("loss", pa.float64()), ("edits", pa.string())]))
-        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+        for batch in sliced(batches, text_column):
             out: list[list] = [[] for _ in fields[1:]]
-            for value in batch.column(text_column):
-                text = value.as_py() or ""
-                score, ids, mixes = vocabulary.encode(text)
-                packed = np.array(ids, dtype="<i4")
+            texts = [t or "" for t in batch.column(text_column).to_pylist()]
+            for text, (score, packed, mixes) in zip(texts, vocabulary.encode_all(texts), strict=True):
+                ids = np.frombuffer(packed, dtype="<i4")
                 rivals = [{"loss": loss, "edits": ";".join(f"{i}:{' '.join(map(str, own))}" for i, own in edits)} for loss, edits in mixes]
-                back = vocabulary.decode(ids) == text.replace(MARK, " ")
-                for column, x in zip(out, (len(ids), score, hashlib.sha256(packed.tobytes()).hexdigest(), rivals, back, packed if with_ids else None), strict=True):
+                back = vocabulary.decode(ids.tolist()) == text.replace(MARK, " ")
+                for column, x in zip(out, (len(ids), score, hashlib.sha256(packed).hexdigest(), rivals, back, ids if with_ids else None), strict=True):
                     column.append(x)
             types = [pa.int64(), pa.float64(), pa.string(), rivals_type, pa.bool_(), pa.list_(pa.int32())]
             arrays = [pa.array(c, type=t) for c, t in zip(out, types, strict=True)]

@@ -101,7 +101,8 @@ def test_texts_equal_all_segmentations(vocabulary):
         for unit in units:
             whole = [(s + t, a + b) for s, a in whole for t, b in every(vocabulary, unit)]
         want = sorted((s for s, _ in whole), reverse=True)[:4]
-        score, ids, mixes = vocabulary.encode(text)
+        score, packed, mixes = vocabulary.encode(text)
+        ids = np.frombuffer(packed, dtype="<i4").tolist()
         assert [score, *(score - loss for loss, _ in mixes)] == want
         assert vocabulary.decode(ids) == text
         for loss, edits in mixes:
@@ -111,6 +112,11 @@ def test_texts_equal_all_segmentations(vocabulary):
             assert vocabulary.decode([x for p in parts for x in p]) == text and (score - loss, tuple(x for p in parts for x in p)) in whole
 
 
+def test_units_worked_out_together_equal_each_alone(vocabulary):
+    units = sorted({f" {a}{b}{c}" for a in ("the", "ther", "ing", "ñ") for b in ("", "a", "ble", "①") for c in ("", "s", "tion")} | {"", " "} - {""})
+    assert list(vocabulary.viterbi(units)) == [vocabulary.best(u) for u in units]
+
+
 def test_encode_and_decode_rows(spark):
     for docs in (brute.with_clashes(brute.odd(spark), "ids", "score"), spark.read.parquet(f"{brute.SF}/documents.parquet")):
         out = decode_ids(encode_texts(docs, queries.PIECES), queries.PIECES).collect()
