@@ -99,19 +99,31 @@ def apply_descriptions(classes: DataFrame, edits: DataFrame) -> DataFrame:
     return joined
 
 
+def alike_flows(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """(a_key, b_key) of flows (key, id, seed, nodes) with the same id, the same filled seed, or Jaccard of `least` > 0.
+
+    Each way of being alike is an equi-join; pairs meet on nodes and are counted, so neither side needs to be small.
+    """
+    x = a.select(F.col("key").alias("a_key"), "id", filled(F.col("seed")).alias("seed"), F.col("nodes").alias("nx"))
+    y = b.select(F.col("key").alias("b_key"), "id", filled(F.col("seed")).alias("seed"), F.col("nodes").alias("ny"))
+    named = x.join(y.select("b_key", "id"), "id").select("a_key", "b_key").unionByName(x.join(y.select("b_key", "seed"), "seed").select("a_key", "b_key"))
+    left, right = x.select("a_key", F.size("nx").alias("m"), F.explode("nx").alias("node")), y.select("b_key", F.size("ny").alias("n"), F.explode("ny").alias("node"))
+    fits = F.least("m", "n") >= F.greatest("m", "n") * F.lit(least) - F.lit(1e-9)
+    shared = left.join(right, "node").where(fits).groupBy("a_key", "b_key", "m", "n").agg(F.count("*").alias("c"))
+    return named.unionByName(shared.where(F.col("c") / (F.col("m") + F.col("n") - F.col("c")) >= least).select("a_key", "b_key")).distinct()
+
+
 def apply_user_flows(flows: DataFrame, user: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     """M7: flows after the user's flows came in their order: each drops those of its id or seed, or alike by Jaccard.
 
-    flows: id, seed, nodes (distinct); user: ord, id, seed, nodes. User flows are few: the later ones that drop
-    an earlier user flow are found by a self-join of theirs, and all of them are tried on each flow by broadcast, since
-    a user flow drops others whether or not it stays itself.
+    flows: id (unique), seed, nodes (distinct); user: ord (unique), id, seed, nodes. A user flow drops others
+    whether or not it stays itself, so the order matters among user flows alone: a later one drops an earlier one.
     """
-    hit = lambda a, b: F.coalesce((a["id"] == b["id"]) | (filled(a["seed"]) == filled(b["seed"])), a["id"] == b["id"], F.lit(False)) | (jaccard(a["nodes"], b["nodes"]) >= config.min_jaccard)
-    f, u, v = flows.alias("f"), user.alias("u"), user.alias("v")
-    pick = lambda a: {c: F.col(f"{a}.{c}") for c in ("id", "seed", "nodes")}
-    left = f.join(F.broadcast(u), hit(pick("f"), pick("u")), "left_anti").select("id", "seed", "nodes", F.lit(False).alias("by_user"))
-    own = u.join(F.broadcast(v), (F.col("v.ord") > F.col("u.ord")) & hit(pick("u"), pick("v")), "left_anti").select("id", "seed", "nodes", F.lit(True).alias("by_user"))
-    return left.unionByName(own)
+    u = user.select(F.col("ord").alias("key"), "id", "seed", "nodes")
+    gone = alike_flows(flows.select(F.col("id").alias("key"), "id", "seed", "nodes"), u, config.min_jaccard).select(F.col("a_key").alias("id")).distinct()
+    evicted = alike_flows(u, u, config.min_jaccard).where(F.col("b_key") > F.col("a_key")).select(F.col("a_key").alias("ord")).distinct()
+    left = flows.join(gone, "id", "left_anti").select("id", "seed", "nodes", F.lit(False).alias("by_user"))
+    return left.unionByName(user.join(evicted, "ord", "left_anti").select("id", "seed", "nodes", F.lit(True).alias("by_user")))
 
 
 def similar_pairs(sets: DataFrame, least: float) -> DataFrame:

@@ -162,9 +162,9 @@ ORACLES: dict[str, str] = {
       SELECT f.dir, count(*) AS n, count(*) FILTER (fo) AS "foreign", any_value(t.lang) AS root FROM f JOIN t ON t.dir = f.dir AND t.r = 1 GROUP BY f.dir HAVING count(*) >= 5 AND count(*) FILTER (fo) / count(*) >= 0.1""",
     "dominant_unsupported": """WITH c AS (SELECT CASE lang WHEN 'es' THEN 'iberian' ELSE 'germanic' END AS language, count(*) AS files FROM documents WHERE lang IN ('de', 'en', 'es') GROUP BY 1)
       SELECT * FROM (SELECT language, files FROM c ORDER BY files DESC, language LIMIT 1) WHERE files > (SELECT count(*) FROM documents WHERE lang = 'fr')""",
-    "token_mentions": f"SELECT token, count(*) AS n_docs FROM (SELECT DISTINCT doc_id, unnest({TOKENS}) AS token FROM documents) GROUP BY token HAVING count(*) >= 5",
+    "token_mentions": f"SELECT token, count(*) AS n_docs FROM (SELECT DISTINCT doc_id, unnest({TOKENS}) AS token FROM documents) GROUP BY token",
     "false_edge_guard": f"""WITH items AS (SELECT item_id, {TOKENS}[1] AS token FROM benchmark), said AS (SELECT DISTINCT doc_id, unnest({TOKENS}) AS token FROM documents)
-      SELECT doc_id, item_id FROM said JOIN items USING (token) WHERE doc_id % 7 = item_id % 7""",
+      SELECT doc_id, item_id FROM said JOIN items USING (token)""",
     "name_functions": """SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN p_name ELSE 'catalog.' || p_type || '.' || p_brand || '.' || p_name END AS qname, string_split(p_name, ' ')[-1] AS short,
         CASE WHEN p_size % 7 = 0 THEN replace(p_name, ' ', '_') ELSE p_brand END AS module, CASE WHEN p_size % 7 = 0 THEN '' ELSE 'catalog.' || p_type END AS root,
         'src/' || replace(p_name, ' ', '_') || '.py' AS changed, p_brand || '__' || replace(p_name, ' ', '-') AS repo, p_name IN ('MainActivity', 'Application', 'main', 'Main', 'App') AS entry FROM part""",
@@ -185,9 +185,9 @@ ORACLES: dict[str, str] = {
     "incremental_merge": """WITH j AS (SELECT d.doc_id, d.lang, d.doc_id % 3 = 0 AS core, l.doc_id IS NOT NULL AND CAST(regexp_extract(d.source, '([0-9]+)$', 1) AS INTEGER) % 2 = 0 AS reuse, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
       k AS (SELECT doc_id, CASE WHEN reuse AND toxic = 0 THEN 'fr' ELSE lang END AS layer, core OR (reuse AND quality = 1) AS core, CAST(CASE WHEN reuse THEN 1 ELSE 0 END AS BIGINT) AS n_tags, CASE WHEN reuse AND toxic = 0 THEN 'text' END AS description FROM j)
       SELECT *, core AND description IS NULL AS stale FROM k""",
-    "flow_merge": """WITH ids AS (SELECT DISTINCT conv_id FROM conversations), dirty AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error'),
+    "flow_merge": """WITH dirty AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error'),
       hit AS (SELECT DISTINCT conv_id FROM conversations WHERE (conv_id * 7 + turn * 13) % 200 IN (SELECT user_id FROM dirty))
-      SELECT conv_id, 'previous' AS origin, conv_id IN (SELECT conv_id FROM hit) AS needs_review FROM ids WHERE conv_id % 2 = 0 UNION ALL SELECT conv_id, 'fresh', true FROM ids WHERE conv_id % 2 = 1""",
+      SELECT conv_id, CASE WHEN s THEN 'previous' ELSE 'fresh' END AS origin, NOT s OR conv_id IN (SELECT conv_id FROM hit) AS needs_review FROM (SELECT conv_id, bool_or(role = 'system') AS s FROM conversations GROUP BY conv_id)""",
     "overlay_reconcile": """WITH e AS (SELECT event_id, event_type, CASE event_id % 3 WHEN 0 THEN 'inactive' ELSE 'active' END AS status, user_id * 40 IN (SELECT c_custkey FROM customer) AS d, event_id % 30 IN (SELECT n_nationkey FROM nation) AS l,
         user_id IN (SELECT c_custkey FROM customer) AND user_id * 30 IN (SELECT c_custkey FROM customer) AS f FROM events),
       a AS (SELECT event_id, status, CASE event_type WHEN 'click' THEN d AND l WHEN 'view' THEN d WHEN 'purchase' THEN f ELSE false END AS alive FROM e)
@@ -196,9 +196,11 @@ ORACLES: dict[str, str] = {
       SELECT p_partkey, CASE WHEN m.l IS NOT NULL AND p_size % 10 <> 0 THEN m.l ELSE p_type END AS layer, p_size > 40 OR (m.l IS NOT NULL AND p_size % 10 <> 0 AND m.c) AS core FROM part LEFT JOIN m ON m.user_id = p_partkey""",
     "overlay_descriptions": """WITH z AS (SELECT user_id, arg_max(event_type, event_id) AS v FROM events WHERE event_id % 2 = 0 GROUP BY user_id), n AS (SELECT user_id, arg_max(event_type, event_id) AS v FROM events WHERE event_id % 5 = 0 GROUP BY user_id)
       SELECT c_custkey, coalesce(z.v, 'old') AS description_zh, n.v AS description_en FROM customer LEFT JOIN z ON z.user_id = c_custkey LEFT JOIN n ON n.user_id = c_custkey""",
-    "overlay_flows": f"""WITH {PART_SETS}, u AS (SELECT o, 'u' || (o % 4) AS id, nodes[1 : greatest(len(nodes) - 1, 1)] AS n FROM sets WHERE o < 9),
-      sim AS (SELECT a.o AS o, u.o AS uo FROM sets a, u WHERE len(list_intersect(a.nodes, u.n)) / (len(a.nodes) + len(u.n) - len(list_intersect(a.nodes, u.n))) >= 0.6),
-      own AS (SELECT x.o FROM u x, u y WHERE y.o > x.o AND (y.id = x.id OR len(list_intersect(x.n, y.n)) / (len(x.n) + len(y.n) - len(list_intersect(x.n, y.n))) >= 0.6))
+    "overlay_flows": f"""WITH {PART_SETS}, i AS (SELECT o, unnest(nodes) AS p, len(nodes) AS n FROM sets),
+      u AS (SELECT o_orderkey AS o, 'u' || o_custkey AS id, nodes[1 : greatest(len(nodes) - 1, 1)] AS n FROM orders JOIN sets ON sets.o = o_orderkey WHERE o_orderpriority = '1-URGENT'),
+      ui AS (SELECT o, unnest(n) AS p, len(n) AS n FROM u),
+      sim AS (SELECT i.o FROM i JOIN ui ON ui.p = i.p GROUP BY i.o, ui.o, i.n, ui.n HAVING count(*) / (i.n + ui.n - count(*)) >= 0.6),
+      own AS (SELECT x.o FROM u x JOIN u y ON y.id = x.id AND y.o > x.o UNION SELECT x.o FROM ui x JOIN ui y ON y.p = x.p AND y.o > x.o GROUP BY x.o, y.o, x.n, y.n HAVING count(*) / (x.n + y.n - count(*)) >= 0.6)
       SELECT CAST(o AS VARCHAR) AS id, false AS by_user, CAST(len(nodes) AS BIGINT) AS n_nodes FROM sets WHERE o NOT IN (SELECT o FROM sim) UNION ALL SELECT id, true, CAST(len(n) AS BIGINT) FROM u WHERE o NOT IN (SELECT o FROM own)""",
     "jaccard_suppress": """WITH i AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), s AS (SELECT o, count(*) AS n FROM i GROUP BY o),
       k AS (SELECT a.o AS a, b.o AS b, count(*) AS c FROM i a JOIN i b ON a.p = b.p AND a.o < b.o GROUP BY a.o, b.o)

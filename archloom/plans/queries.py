@@ -136,19 +136,18 @@ def dominant_unsupported(spark: S, d: str) -> D:
 
 
 def token_mentions(spark: S, d: str) -> D:
-    """How many documents mention each identifier, of those found in five or more."""
+    """How many documents mention each identifier."""
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
-    return graph.mentions_of(docs).groupBy("token").agg(F.count("*").alias("n_docs")).where("n_docs >= 5")
+    return graph.mentions_of(docs).groupBy("token").agg(F.count("*").alias("n_docs"))
 
 
 def false_edge_guard(spark: S, d: str) -> D:
-    """Edges from documents to benchmark items, kept where the document says the item's token (its first identifier)."""
+    """Of the edges from every document to every benchmark item, those where the document says the item's token (its
+    first identifier). Documents are reduced to the tokens that some item has before they meet the items."""
     docs = table(spark, d, "documents")
     items = table(spark, d, "benchmark").select("item_id", F.get(identifiers(F.col("text")), F.lit(0)).alias("token")).where("token is not null")
-    pairs = docs.select("doc_id").join(items, F.pmod("doc_id", F.lit(7)) == F.pmod("item_id", F.lit(7))).select("doc_id", "item_id", "token")
-    wanted = items.select("token").distinct()
-    said = docs.select("doc_id", F.explode(identifiers(F.col("text"))).alias("token")).join(F.broadcast(wanted), "token", "left_semi")
-    return pairs.join(said, ["doc_id", "token"], "left_semi").select("doc_id", "item_id")
+    said = graph.mentions_of(docs.select(F.col("doc_id").alias("path"), F.col("text").alias("content"))).join(items.select("token").distinct(), "token", "left_semi")
+    return said.join(items, "token").select(F.col("path").alias("doc_id"), "item_id")
 
 
 def name_functions(spark: S, d: str) -> D:
@@ -242,12 +241,12 @@ def incremental_merge(spark: S, d: str) -> D:
 
 
 def flow_merge(spark: S, d: str) -> D:
-    """Conversations of even number as previous flows, all below 50 or odd as fresh; users with an error as changed."""
-    c = table(spark, d, "conversations").select("conv_id", "turn").distinct()
-    nodes = c.select(F.col("conv_id").alias("flow"), ((F.col("conv_id") * 7 + F.col("turn") * 13) % 200).alias("node"))
-    ids = c.select(F.col("conv_id").alias("id")).distinct()
+    """Conversations with a system turn as previous flows, all as fresh ones; users with an error as changed."""
+    c = table(spark, d, "conversations")
+    nodes = c.select(F.col("conv_id").alias("flow"), ((F.col("conv_id") * 7 + F.col("turn") * 13) % 200).alias("node")).distinct()
+    previous = c.where("role = 'system'").select(F.col("conv_id").alias("id")).distinct()
     changed = table(spark, d, "events").where("event_type = 'error'").select(F.col("user_id").alias("id")).distinct()
-    found = merge.merge_flows(ids.where("id % 2 = 0"), ids.where("id % 2 = 1 or id < 50"), nodes, changed)
+    found = merge.merge_flows(previous, c.select(F.col("conv_id").alias("id")).distinct(), nodes, changed)
     return found.select(F.col("id").alias("conv_id"), "origin", "needs_review")
 
 
@@ -279,11 +278,12 @@ def overlay_descriptions(spark: S, d: str) -> D:
 
 
 def overlay_flows(spark: S, d: str) -> D:
-    """Orders as flows over their parts; nine of them come again as user flows with a node less."""
+    """Orders as flows over their parts; urgent ones come again as user flows of their customer, with a part less."""
     items = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").alias("node")).distinct()
     sets = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
-    base = sets.select(F.col("l_orderkey").cast("string").alias("id"), (F.col("l_orderkey") % 50).cast("string").alias("seed"), "nodes")
-    user = sets.where(F.col("l_orderkey") < 9).select(F.col("l_orderkey").alias("ord"), F.concat(F.lit("u"), (F.col("l_orderkey") % 4).cast("string")).alias("id"), F.lit("").alias("seed"), F.slice("nodes", 1, F.greatest(F.size("nodes") - 1, F.lit(1))).alias("nodes"))
+    base = sets.select(F.col("l_orderkey").cast("string").alias("id"), F.lit("").alias("seed"), "nodes")
+    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").join(sets, F.col("o_orderkey") == F.col("l_orderkey"))
+    user = urgent.select(F.col("o_orderkey").alias("ord"), F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("id"), F.lit("").alias("seed"), F.slice("nodes", 1, F.greatest(F.size("nodes") - 1, F.lit(1))).alias("nodes"))
     return merge.apply_user_flows(base, user).select("id", "by_user", F.size("nodes").cast("long").alias("n_nodes"))
 
 
