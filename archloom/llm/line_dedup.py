@@ -120,7 +120,8 @@ def line_dedup(docs: DataFrame, text_column: str = "text", min_docs: int = 10, m
     frequent = materialise(runs.frequent())
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     if frequent.limit(broadcast_keys + 1).count() <= broadcast_keys:
-        table = np.array([(r.h1, r.h2) for r in frequent.toLocalIterator()], dtype=np.int64).reshape(-1, 2)
+        known = frequent.toArrow()
+        table = np.stack([known["h1"].to_numpy(), known["h2"].to_numpy()], axis=1)
         shared = docs.sparkSession.sparkContext.broadcast(table[np.lexsort((table[:, 1], table[:, 0]))])
         return docs.mapInArrow(lambda parts: (_without(part, text_column, _known(part, text_column, shared.value)) for part in parts), schema)
     return _joined(docs, text_column, frequent, schema)
