@@ -156,3 +156,13 @@ def last_wins(lines: DataFrame, defaults: list[str]) -> DataFrame:
     asked = lines.select("ord", body.alias("b")).where(F.col("b") != "").select("ord", F.regexp_replace("b", "^-", "").alias("name"), (~F.startswith("b", F.lit("-"))).alias("keep"))
     given = lines.sparkSession.createDataFrame([(-1, d, True) for d in defaults], "ord int, name string, keep boolean")
     return given.unionByName(asked).groupBy("name").agg(F.max_by("keep", "ord").alias("keep")).where("keep").select("name")
+
+
+def without_entries(entries: DataFrame, ids: DataFrame) -> DataFrame:
+    """M9: overlay entries less those of the given ids."""
+    return entries.join(ids.select("id").distinct(), "id", "left_anti")
+
+
+def work_counts(classes: DataFrame, flows: DataFrame) -> DataFrame:
+    """One row of how many rows need a description and how many flows a review."""
+    return classes.agg(F.count_if("stale").alias("stale")).crossJoin(flows.agg(F.count_if("needs_review").alias("needs_review")))

@@ -89,3 +89,13 @@ def skip_names(spark: SparkSession, lines: list[str] | None = None) -> DataFrame
     """Names to skip after a list's lines."""
     rows = spark.createDataFrame(list(enumerate(lines or [])), "ord int, line string")
     return last_wins(rows, list(SKIP_DIRS))
+
+
+def latest_change(contents: DataFrame) -> DataFrame:
+    """One row with the last modification among files."""
+    return contents.agg(F.max("modificationTime").alias("modificationTime"))
+
+
+def read_model(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
+    """Tables of a model as write_tables left them."""
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in names}

@@ -35,6 +35,9 @@ def test_merge_and_overlay(spark):
     assert {(r.id, r.by_user) for r in merge.apply_user_flows(base, user).collect()} == {("f3", False), ("u2", True), ("u3", True)}
     sets = spark.createDataFrame([(i, t) for i, ts in enumerate(("abcde", "abcdf", "abxyz", "abcde")) for t in ts], "id int, token string")
     assert {(r.a, r.b): round(r.similarity, 3) for r in merge.similar_pairs(sets, 0.6).collect()} == {(0, 1): 0.667, (0, 3): 1.0, (1, 3): 0.667}
+    assert merge.without_entries(e, e.where("id < '3'").select("id")).count() == 3
+    flagged = spark.createDataFrame([(True,), (False,)], "needs_review boolean")
+    assert tuple(merge.work_counts(spark.createDataFrame([(True,), (True,)], "stale boolean"), flagged).first()) == (2, 1)
     rows = spark.createDataFrame([(None, 1), (None, 2), ("a", 3), ("a", 4)], "id string, ord int")
     assert sorted(r.ord for r in merge.once_per_id(rows, [], ["ord"]).collect()) == [1, 2, 3]
 
@@ -52,7 +55,8 @@ def test_skip_lists_and_pruning(spark, tmp_path):
     assert [r.path for r in listed.orderBy("ord").limit(3).collect()] == ["a.py", "readme.txt", "z.py"]
     assert {r.path: r.language for r in files.scan(listed, files.skip_names(spark)).collect()} == {"a.py": "python", "src/b.ts": "typescript", "other/build/e.py": "python"}
     assert {r.ext: r.n for r in files.census(listed).collect()} == {"py": 4, "ts": 2, "json": 1, "txt": 1}
-    assert files.read_contents(spark, str(tmp_path / "other")).first().path == "build/e.py"
+    read = files.read_contents(spark, str(tmp_path / "other"))
+    assert read.first().path == "build/e.py" and files.latest_change(read).first()[0] is not None
 
 
 def test_parsing_and_resolution_end_to_end(spark):
@@ -128,7 +132,7 @@ def test_configs_and_documents(spark, tmp_path):
     got = {r.id: json.loads(r.doc) for r in documents.layers_document(layers_, classes).collect()}
     assert got == {"L": {"id": "L", "order": 1.0, "classes": [{"id": "a"}, {"id": "b", "name": "B"}]}, "M": {"id": "M", "order": 2.0, "classes": []}}
     documents.write_tables(str(tmp_path / "out"), classes=classes)
-    assert spark.read.parquet(str(tmp_path / "out/classes")).count() == 2 and documents.stable_json({"b": 1, "a": 2}).startswith('{\n  "a"')
+    assert files.read_model(spark, str(tmp_path / "out"), "classes")["classes"].count() == 2 and documents.stable_json({"b": 1, "a": 2}).startswith('{\n  "a"')
 
 
 def test_streaming_ingest(spark, tmp_path):
