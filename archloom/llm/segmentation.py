@@ -183,6 +183,8 @@ class Vocabulary(dict):
                 serial -= 1
                 total = behind + score
                 heappush(queue, (-(forward[start] + total), serial, start, total, (own, path)))
+            if len(queue) > 8 * self.n_best:  # each entry leads to a hypothesis of just its score: no more can matter
+                queue = nsmallest(self.n_best, queue)
         return found
 
     def others(self, unit: str) -> list[tuple[float, tuple[int, ...]]]:

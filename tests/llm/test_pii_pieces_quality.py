@@ -94,6 +94,14 @@ def test_units_equal_all_segmentations(vocabulary):
         assert (best.score, best.ids) == got[0] and (len(got) == 1 or best.loss == got[0][0] - got[1][0])
 
 
+def test_long_units(vocabulary):
+    """A unit of 200,000 signs: the queue stays small, and hypotheses come in order and spell the text."""
+    unit = " " + "thereinanother" * 14_000
+    found = vocabulary.search(unit)
+    assert len(found) == 4 and all(a[0] >= b[0] for a, b in zip(found, found[1:])) and found[0] == (vocabulary.best(unit).score, vocabulary.best(unit).ids)
+    assert all(vocabulary.decode(ids) == unit[1:] for _, ids in found) and len({ids for _, ids in found}) == 4
+
+
 def test_texts_equal_all_segmentations(vocabulary):
     for text in ("the cat", "is it on", "a\nbe"):
         units = vocabulary.units(text)
