@@ -89,6 +89,17 @@ def directory_closure(paths: DataFrame) -> DataFrame:
     return each.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda k: F.array_join(F.slice("p", 1, k), "/"))).alias("dir")).where(filled(F.col("dir")).isNotNull()).distinct()
 
 
+def core_view(classes: DataFrame, layers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The core rows, and the layers (id) that hold some."""
+    some = classes.where("core")
+    return some, layers.join(some.select(F.col("layer").alias("id")).distinct(), "id", "left_semi")
+
+
+def top_evidence(scores: DataFrame, n: int = 3) -> DataFrame:
+    """The n best scores."""
+    return scores.orderBy(F.desc("score"), "template").limit(n)
+
+
 def rollup(decls: DataFrame) -> DataFrame:
     """Extension: counts by language, layer and kind with all totals."""
     return decls.rollup("language", "layer", "kind").agg(F.count("*").alias("n"))

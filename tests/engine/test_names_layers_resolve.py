@@ -69,11 +69,18 @@ def test_groups_and_packing(spark):
     assert {r.id: r.row for r in layers.pack_rows(b, 10, 1).collect()} == {"b0": 0, "b1": 0, "b2": 1, "b3": 2, "b4": 3}
 
 
+def test_core_view(spark):
+    c = spark.createDataFrame([("1", "L", True), ("2", "L", False), ("3", "M", False)], "id string, layer string, core boolean")
+    rows, some = layers.core_view(c, spark.createDataFrame([("L",), ("M",)], "id string"))
+    assert [r.id for r in rows.collect()] == ["1"] and [r.id for r in some.collect()] == ["L"]
+
+
 def test_templates_and_advisories(spark):
     sig = spark.createDataFrame([("a", "file", "*.gradle", 2), ("a", "path", "ui", 1), ("b", "dependency", "react", 5), ("clean-architecture", "path", "none", 9)], "template string, kind string, match string, weight int")
     files = spark.createDataFrame([("x/build.gradle",), ("app.gradle",), ("m/ui/f.py",), ("n/ui/g.py",), ("o/ui/g.py",), ("p/ui/g.py",)], "path string")
     scores = layers.template_scores(files, spark.createDataFrame([("uses react",)], "text string"), layers.directory_closure(files), sig)
     assert {r.template: r.score for r in scores.collect()} == {"a": 7, "b": 5, "clean-architecture": 0}
+    assert [r.template for r in layers.top_evidence(scores, 2).collect()] == ["a", "b"]
     assert layers.choose_template(scores).first().template == "a" and layers.choose_template(scores.withColumn("score", F.lit(0))).first().template == "clean-architecture"
     d = spark.createDataFrame([("lib", "org.other", i) for i in range(60)] + [("lib", "com.own", 99)] * 5 + [("app", "com.own", i) for i in range(60)], "dir string, root string, ord int")
     own = spark.createDataFrame([("com.own",)], "root string")
