@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from archloom.llm.common import byte_rows, materialise, only
 from archloom.llm.hashing import joined_texts, word_hashes
-from archloom.llm.windows import by_content, by_load, covered, keyed, met, per_text, pieces, ranges_of, stretches
+from archloom.llm.windows import MADE, Seen, by_content, by_load, covered, keyed, met, per_text, pieces, ranges_of, rows_of, stretches
 
 PIECE = "gram long, k long, lo long, piece binary"
 RANGE = "k long, lo long, hi long"
@@ -103,18 +103,18 @@ def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str
     rows, plain = keyed(docs, id_column, text_column)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for ids, texts in byte_rows(batches, "_k", "_text"):
             buffer, at = joined_texts(texts)
             start, _, words = word_hashes(buffer)
             own = np.searchsorted(start, at)
-            s = stretches(words, own[:-1], own[1:], size, gram)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, dtype=np.int64)[s.text]), pa.array(s.lo), pa.array(s.hi), pa.array(s.gram), pa.array(s.whole)], names=["k", "lo", "hi", "gram", "whole"])
+            yield rows_of(stretches(words, own[:-1], own[1:], size, gram), ids, seen)
 
     def contents(text: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
         words = hashed_words(text)
         return [words[lo : hi + size].tobytes() for lo, hi in spans]
 
-    made = rows.select("_k", "_text").mapInArrow(cut, "k long, lo long, hi long, gram long, whole long")
+    made = rows.select("_k", "_text").mapInArrow(cut, MADE)
     found = materialise(met(made))
     open_ = materialise(pieces(found, rows, contents, PIECE))
     dealt, hot = by_load(open_, task_bytes, most_rows)

@@ -67,6 +67,48 @@ def stretches(symbols: np.ndarray, start: np.ndarray, end: np.ndarray, size: int
     return Stretches(own, lo - start[own], hi - start[own], g[anchor[lo]].view(np.int64), between(q, lo, hi + size).view(np.int64))
 
 
+MADE = "k long, lo long, hi long, gram long, whole long, extra boolean"
+
+
+class Seen:
+    """Tells which stretches need no comparing any more: two of their kind were sent by this task before, one of them
+    earlier in the corpus. A table of fixed size; what falls out of it is just sent again."""
+
+    def __init__(self, bits: int = 18) -> None:
+        size = 1 << bits
+        self.mask = U(size - 1)
+        self.key, self.sent = np.zeros(size, dtype=np.uint64), np.zeros(size, dtype=np.int8)
+        self.k, self.lo = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
+
+    def extra(self, s: Stretches, k: np.ndarray) -> np.ndarray:
+        if not len(k):
+            return np.zeros(0, dtype=bool)
+        key = mix(s.gram.view(np.uint64) * U(BASE) + s.whole.view(np.uint64))
+        ordered = np.arange(len(k)) if (np.diff(k) >= 0).all() else np.lexsort((s.lo, k))
+        order = ordered[np.argsort(key[ordered], kind="stable")]
+        fresh = np.ones(len(order), dtype=bool)
+        fresh[1:] = np.diff(key[order]) != 0
+        first = np.flatnonzero(fresh)
+        run = np.cumsum(fresh) - 1
+        nth = np.arange(len(order)) - first[run]
+        head = order[first]
+        slot = (key[head] & self.mask).astype(np.int64)
+        hit = (self.key[slot] == key[head]) & (self.sent[slot] > 0)
+        base = np.where(hit, self.sent[slot], 0)
+        before = hit & ((self.k[slot] < k[head]) | ((self.k[slot] == k[head]) & (self.lo[slot] < s.lo[head])))
+        out = np.zeros(len(k), dtype=bool)
+        out[order] = (base[run] + nth >= 2) & ((nth > 0) | before[run])
+        n = np.diff(np.append(first, len(order)))
+        self.k[slot], self.lo[slot] = np.where(before, self.k[slot], k[head]), np.where(before, self.lo[slot], s.lo[head])
+        self.key[slot], self.sent[slot] = key[head], np.minimum(2, base + n)
+        return out
+
+
+def rows_of(s: Stretches, ids: list[int], seen: Seen) -> pa.RecordBatch:
+    k = np.array(ids, dtype=np.int64)[s.text]
+    return pa.RecordBatch.from_arrays([pa.array(k), pa.array(s.lo), pa.array(s.hi), pa.array(s.gram), pa.array(s.whole), pa.array(seen.extra(s, k))], names=["k", "lo", "hi", "gram", "whole", "extra"])
+
+
 def keyed(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, bool]:
     """(_k, _text) with a long key that is unique and ordered as the ids; the flag says whether _k is the id itself.
 
@@ -85,14 +127,17 @@ FOUND = "k long, lo long, hi long, gram long, again boolean, open boolean"
 
 
 def met(made: DataFrame) -> DataFrame:
-    """Where stretches meet. made: k, lo, hi, gram, whole.
+    """Where stretches meet. made: k, lo, hi, gram, whole, extra.
 
+    Of a stretch that stands in many texts each task sends two at most to its gram; the others are known to be again
+    there, and are dealt out evenly.
     Per gram, equal stretches (by `whole`) form a run in the order of (k, lo). Returned are the stretches that are
     equal to another (again: to an earlier one) and the first of each run whose gram has several runs (open). The
     sorted rows stream through; a worker holds one batch and one row, whatever the size of a run or gram.
     """
     columns = ["gram", "whole", "k", "lo", "hi"]
-    dealt = made.select(*columns).repartition("gram").sortWithinPartitions(*columns[:4])
+    place = F.when(F.col("extra"), F.xxhash64("k", "lo")).otherwise(F.col("gram"))
+    dealt = made.select(*columns, "extra").repartition(place).sortWithinPartitions(*columns[:4])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each row is judged when the row after it is known."""
@@ -141,6 +186,14 @@ def met(made: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
+            extra = batch.column("extra").to_numpy(zero_copy_only=False)
+            if extra.any():
+                known = batch.filter(pa.array(extra))
+                flags = np.ones(known.num_rows, dtype=bool)
+                yield pa.RecordBatch.from_arrays([known.column("k"), known.column("lo"), known.column("hi"), known.column("gram"), pa.array(flags), pa.array(~flags)], names=["k", "lo", "hi", "gram", "again", "open"])
+                batch = batch.filter(pa.array(~extra))
+                if not batch.num_rows:
+                    continue
             rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns])
             if held is not None:
                 rows = np.concatenate([held, rows], axis=1)

@@ -9,7 +9,7 @@ from archloom.llm import queries
 from archloom.llm.hashing import TABLE, word_hashes
 from archloom.llm.substring_dedup import deep_leaves, prefix_groups, substring_dedup, subtree
 from archloom.llm.suffix_dedup import suffix_dedup, suffix_order
-from archloom.llm.windows import stretches
+from archloom.llm.windows import Seen, Stretches, stretches
 
 
 def by_id(df):
@@ -106,6 +106,25 @@ def test_tangled_passages(spark, tangled):
         assert substrings(substring_dedup(docs, **more)) == all_
 
 
+def test_many_copies_in_any_order(spark):
+    """Copies far beyond two a task, in falling order of ids and over several slices."""
+    r = random.Random(1)
+    line = " ".join(f"common{i}" for i in range(45))
+    rows = [(i, f"own{i} " * r.randint(1, 40) + line + f" end{i}" * r.randint(1, 40)) for i in range(300)] + [(1000 + i, line + " " + line) for i in range(50)]
+    for order in (sorted(rows, reverse=True), sorted(rows), r.sample(rows, len(rows))):
+        docs = spark.createDataFrame(order, "doc_id long, text string").coalesce(2)
+        assert suffixes(suffix_dedup(docs)) == brute.suffix_deduped(rows)
+        assert substrings(substring_dedup(docs)) == brute.substring_deduped(rows)
+
+
+def test_seen_sends_two_and_all_that_come_earlier():
+    seen, n = Seen(bits=4), 6
+    alike = lambda k, lo: (Stretches(np.arange(len(k)), np.array(lo), np.array(lo), np.full(len(k), 7), np.full(len(k), 9)), np.array(k))
+    assert seen.extra(*alike([5] * n, range(n))).tolist() == [False, False, True, True, True, True]
+    assert seen.extra(*alike([6, 4, 5], [0, 0, 9])).tolist() == [True, False, True]
+    assert seen.extra(*alike([], [])).tolist() == []
+
+
 def test_odd_rows(spark):
     docs = brute.with_clashes(brute.odd(spark), "k", "lo", "gram", "_k", "_gone")
     assert suffixes(suffix_dedup(docs)) == brute.suffix_deduped(brute.rows_of(docs))
