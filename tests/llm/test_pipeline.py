@@ -41,7 +41,7 @@ def test_lines_are_judged_one_by_one(spark):
 
 def test_no_python_in_the_quality_rules(spark):
     plan = queries.op9_quality_rules(spark, brute.SF)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+    assert not re.search("Python|Pandas|Arrow|hashpartitioning", plan)
 
 
 def test_pipeline_equals_brute_force(spark):
