@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from archloom.llm.common import byte_rows, materialise, only
 from archloom.llm.hashing import joined_texts, word_hashes
-from archloom.llm.windows import MADE, Seen, by_content, by_load, covered, keyed, met, per_text, pieces, ranges_of, rows_of, stretches
+from archloom.llm.windows import MADE, Seen, by_content, by_load, covered, keyed, met, per_text, pieces, ranges_of, rows_of, text_stretches
 
 PIECE = "gram long, k long, lo long, piece binary"
 RANGE = "k long, lo long, hi long"
@@ -108,7 +108,7 @@ def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str
             buffer, at = joined_texts(texts)
             start, _, words = word_hashes(buffer)
             own = np.searchsorted(start, at)
-            yield rows_of(stretches(words, own[:-1], own[1:], size, gram), ids, seen)
+            yield rows_of(text_stretches(lambda a, b: words[a:b], own[:-1], own[1:], size, gram), ids, seen)
 
     def contents(text: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
         words = hashed_words(text)

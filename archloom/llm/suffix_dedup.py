@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from archloom.llm.common import byte_rows, materialise, only
 from archloom.llm.hashing import TABLE, joined_texts
-from archloom.llm.windows import MADE, Seen, by_content, by_load, covered, keyed, met, per_text, pieces, ranges_of, rows_of, stretches
+from archloom.llm.windows import MADE, Seen, by_content, by_load, covered, keyed, met, per_text, pieces, ranges_of, rows_of, text_stretches
 
 PIECE = "gram long, k long, lo long, piece binary"
 RANGE = "k long, lo long, hi long"
@@ -144,7 +144,7 @@ def suffix_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         seen = Seen()
         for ids, texts in byte_rows(batches, "_k", "_text"):
             buffer, at = joined_texts(texts)
-            yield rows_of(stretches(TABLE[buffer], at[:-1], at[1:] - 1, size, gram), ids, seen)
+            yield rows_of(text_stretches(lambda a, b: TABLE[buffer[a:b]], at[:-1], at[1:] - 1, size, gram), ids, seen)
 
     made = rows.select("_k", "_text").mapInArrow(cut, MADE)
     found = materialise(met(made))

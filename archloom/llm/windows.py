@@ -67,6 +67,25 @@ def stretches(symbols: np.ndarray, start: np.ndarray, end: np.ndarray, size: int
     return Stretches(own, lo - start[own], hi - start[own], g[anchor[lo]].view(np.int64), between(q, lo, hi + size).view(np.int64))
 
 
+#: Symbols in one go. A longer text is cut, and its stretches with it; cut stretches are unequal to whole ones, so their
+#: grams are open and the windows themselves decide.
+SEGMENT = 1 << 20
+
+
+def text_stretches(symbols_of, start: np.ndarray, end: np.ndarray, size: int, gram: int, segment: int = SEGMENT) -> Stretches:
+    """Stretches of the texts at [start, end); symbols_of(a, b) gives the symbols between two places. A text that comes
+    alone is read in segments that overlap by all but one symbol of a window."""
+    total = int(end[-1])
+    if len(start) > 1 or total <= 2 * segment:
+        return stretches(symbols_of(0, total), start, end, size, gram)
+    parts = []
+    for at in range(0, total - size + 1, segment):
+        stop = min(total, at + segment + size - 1)
+        s = stretches(symbols_of(at, stop), np.zeros(1, dtype=np.int64), np.array([stop - at]), size, gram)
+        parts.append(s._replace(lo=s.lo + at, hi=s.hi + at))
+    return Stretches(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+
+
 MADE = "k long, lo long, hi long, gram long, whole long, extra boolean"
 
 
@@ -276,4 +295,4 @@ def covered(n: int, ranges: list[dict] | None, size: int) -> np.ndarray | None:
     step = np.zeros(n + 1, dtype=np.int32)
     np.add.at(step, np.array([r["lo"] for r in ranges]), 1)
     np.add.at(step, np.array([r["hi"] for r in ranges]) + size, -1)
-    return np.cumsum(step[:-1]) > 0
+    return np.cumsum(step[:-1], dtype=np.int32) > 0

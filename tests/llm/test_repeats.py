@@ -9,7 +9,7 @@ from archloom.llm import queries
 from archloom.llm.hashing import TABLE, word_hashes
 from archloom.llm.substring_dedup import deep_leaves, prefix_groups, substring_dedup, subtree
 from archloom.llm.suffix_dedup import suffix_dedup, suffix_order
-from archloom.llm.windows import Seen, Stretches, stretches
+from archloom.llm.windows import Seen, Stretches, stretches, text_stretches
 
 
 def by_id(df):
@@ -52,6 +52,30 @@ def test_stretches_hold_every_window_once_and_equal_windows_alike():
     assert sorted(seen) == [(i, j) for i, t in enumerate(texts) for j in range(len(t) - 39)]
 
 
+def test_a_long_text_in_segments():
+    r = random.Random(9)
+    text = np.frombuffer("".join(r.choice("abc") for _ in range(3000)).encode(), dtype=np.uint8)
+    at, end = np.array([0]), np.array([len(text)])
+    whole = stretches(TABLE[text], at, end, 40, 8)
+    of = {j: g for lo, hi, g in zip(whole.lo, whole.hi, whole.gram, strict=True) for j in range(lo, hi + 1)}
+    for segment in (50, 333, 1499):
+        s = text_stretches(lambda a, b: TABLE[text[a:b]], at, end, 40, 8, segment)
+        got = {j: g for lo, hi, g in zip(s.lo, s.hi, s.gram, strict=True) for j in range(lo, hi + 1)}
+        assert got == of and sum(s.hi - s.lo + 1) == len(of)
+
+
+def test_very_long_texts(spark):
+    """Five million bytes that hold two copies of a passage and share one with a short text."""
+    r = random.Random(10)
+    passage = " ".join(f"p{i}" for i in range(60))
+    long = " ".join(f"{r.randrange(10**9)}" for _ in range(250_000)) + " " + passage + " " + " ".join(f"{r.randrange(10**9)}" for _ in range(250_000)) + " " + passage
+    docs = spark.createDataFrame([(1, long), (2, passage)], "doc_id long, text string")
+    n = len(passage)
+    got = {x.doc_id: (x.n_removed, x.n_spans) for x in suffix_dedup(docs).collect()}
+    assert got == {1: (n + 1, 1), 2: (n, 1)}
+    assert {x.doc_id: x.n_removed for x in substring_dedup(docs).collect()} == {1: 120, 2: 60}
+
+
 def test_subtrees_find_the_repeats():
     r = random.Random(3)
     words = np.array([r.randint(0, 2) for _ in range(400)])
