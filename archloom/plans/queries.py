@@ -25,9 +25,10 @@ def node_degrees(spark: S, d: str) -> D:
     return graph.degrees(adapter.graph_nodes(spark, d), adapter.graph_edges(spark, d))
 
 
-def _scored(spark: S, d: str) -> D:
-    found = node_degrees(spark, d).join(adapter.graph_nodes(spark, d), "id")
-    return graph.importance(found, digits=None)
+def _scored(spark: S, d: str, edges: D | None = None) -> D:
+    nodes = adapter.graph_nodes(spark, d)
+    found = graph.degrees(nodes, adapter.graph_edges(spark, d) if edges is None else edges).join(nodes, "id")
+    return graph.importance(saved(found), digits=None)  # read twice: for the maxima and for the rows
 
 
 def importance(spark: S, d: str) -> D:
@@ -49,10 +50,11 @@ def dispatch_index(spark: S, d: str) -> D:
 
 def _known(spark: S, d: str) -> tuple[D, D, D]:
     """Scored nodes with hub flag, edges, hub ids, each written once."""
-    scored = saved(_scored(spark, d).withColumn("importance", F.round("importance", 6)))
+    edges = saved(adapter.graph_edges(spark, d))
+    scored = _scored(spark, d, edges).withColumn("importance", F.round("importance", 6))
     hub = saved(graph.hubs(scored).select("id"))
     flagged = scored.join(hub.withColumn("hub", F.lit(True)), "id", "left").withColumn("hub", F.coalesce("hub", F.lit(False)))
-    return flagged, saved(adapter.graph_edges(spark, d)), hub
+    return saved(flagged), edges, hub
 
 
 def flow_seeds(spark: S, d: str) -> D:
@@ -61,20 +63,21 @@ def flow_seeds(spark: S, d: str) -> D:
 
 def flow_reach(spark: S, d: str) -> D:
     """What the twelve lowest customers reach over edges of either kind."""
-    hub = hub_topk(spark, d)
+    edges = saved(adapter.graph_edges(spark, d))
+    hub = saved(graph.hubs(saved(graph.degrees(adapter.graph_nodes(spark, d), edges))).select("id"))
     seeds = table(spark, d, "customer").orderBy("c_custkey").limit(12).select(tagged("c", "c_custkey").alias("id"))
-    return flows.reach(seeds, adapter.graph_edges(spark, d), hub, DEFAULT.max_depth)
+    return flows.reach(seeds, edges, hub, DEFAULT.max_depth)
 
 
 def flow_trace(spark: S, d: str) -> D:
     decls, edges, hub = _known(spark, d)
-    index = graph.dispatch_index(decls)
+    index = saved(graph.dispatch_index(decls))
     return flows.trace_flows(flows.select_seeds(decls), decls, edges, hub, index, decls.select("id", "refs"))
 
 
 def dispatch_flows(spark: S, d: str) -> D:
     decls, edges, hub = _known(spark, d)
-    found = flows.dispatch_flows(decls, graph.dispatch_index(decls), edges, hub)
+    found = flows.dispatch_flows(decls, saved(graph.dispatch_index(decls)), edges, hub)
     return found.select("key", "root", "src", "dst", "kind", F.col("omitted").cast("long").alias("omitted"))
 
 
