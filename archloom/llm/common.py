@@ -56,7 +56,7 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(c) for c in columns])
 
 
-def byte_rows(batches: Iterator[pa.RecordBatch], id_column: str, text_column: str, limit: int = 1 << 20) -> Iterator[tuple[list[int], list[bytes]]]:
+def byte_rows(batches: Iterator[pa.RecordBatch], id_column: str, text_column: str, limit: int = 1 << 18) -> Iterator[tuple[list[int], list[bytes]]]:
     """Ids and UTF-8 texts (null: empty) in slices of about `limit` bytes; a longer text comes alone."""
     ids: list[int] = []
     texts: list[bytes] = []

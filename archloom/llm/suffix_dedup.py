@@ -125,7 +125,7 @@ def later_copies(part: pd.DataFrame, size: int) -> pd.DataFrame:
     return pd.DataFrame(dict(zip(("k", "lo", "hi"), ranges_of(later, k[o], p[o]), strict=True)))
 
 
-def suffix_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 100, gram: int = 32, task_bytes: int = 2 << 20, most_rows: int = 20_000) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 100, gram: int = 32, task_bytes: int = 1 << 20, most_rows: int = 20_000) -> DataFrame:
     """Removes every byte that a string of `size` bytes covers which also starts earlier.
 
     Earlier is a smaller id, or the same text and a smaller start; strings are judged on the input and never cross texts.
