@@ -135,6 +135,27 @@ def test_traces_equal_a_plain_search(spark):
         assert sorted((x.flow, x.node, x.via, x.omitted) for x in rows if x.omitted) == sorted(want_left)
 
 
+def test_placed_implementors_beyond_the_joined_ranks_are_not_omitted(spark):
+    """Keys of more implementors than the cut (2 * 60 + 8), some of the last of which are placed before the key's turn."""
+    impls = [f"i{k:03d}" for k in range(150)]
+    index = {"I": impls, "J": [*impls[100:], *impls[:100]]}
+    refs = {"S": ["I"], "a": ["J", "I"], "i140": ["I"], "i149": ["J"]}
+    uses = {("S", "i140"), ("S", "i149"), ("S", "a"), ("a", "i145"), ("a", "i090"), ("i140", "i148"), ("i149", "i139"), ("i130", "a"), ("i130", "i135")}
+    seeds, adjacency = ["S", "i140", "i130"], {}
+    for a, b in uses:
+        adjacency.setdefault(a, []).append(b)
+    pairs = [(k, i) for k, v in index.items() for i in v]
+    got = trace(spark, seeds, [], sorted(uses), refs=refs.items(), index=pairs)
+    layer = dict.fromkeys([*impls, "S", "a"], "L")
+    want_order, want_left = {}, []
+    for s in seeds:
+        order, _, left = plain_trace(s, adjacency, set(), layer, refs, index, 8, 60, 8)
+        want_order[f"flow:{s}"] = order
+        want_left += [(f"flow:{s}", u, k, n) for u, k, n in left]
+    assert orders(got) == want_order
+    assert omitted(got) == sorted(want_left) and ("flow:S", "S", "I", 150 - 2 - 8) in want_left
+
+
 def test_traces_of_small_graphs(spark):
     assert orders(trace(spark, ["U"], [], [("U", "A"), ("A", "U")])) == {"flow:U": ["U", "A"]}
     d = trace(spark, ["U"], [], [], refs=[("U", ["pkg.I<T>"])], index=[("I", "A"), ("I", "B"), ("I", "C")], max_fanout=2)
