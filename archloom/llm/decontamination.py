@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archloom.llm.common import byte_rows, only
+from archloom.llm.common import byte_rows, materialise, only
 
 #: Bytes to bytes: A-Z to lower case, every other ASCII byte that is no digit or letter to a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -110,19 +111,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
 
     A window is `size` consecutive words of an item, or the whole item if it has fewer; A-Z count as a-z. Null and
     empty texts have no words; items without words or id have no windows; repeated items count under their id once;
-    an empty benchmark hits nothing. Repeated document rows give a row each. Items are searched in blocks of
-    about `block_bytes` of text; with several blocks, rows are merged by document id (ids must then be unique).
+    an empty benchmark hits nothing. Every document row gives a row of its own, whatever its id. Items are searched in
+    blocks of about `block_bytes` of text; for several blocks, rows are numbered once and merged by number.
 
     Columns: id, n_words, n_hit, n_items, items (sorted as strings), contaminated.
     """
-    found, blocks = None, 0
-    for rows in item_blocks(benchmark, item_column, item_text, block_bytes):
-        one = _scanned(only(docs, id_column, text_column), rows, id_column, text_column, size)
-        found, blocks = (one if found is None else found.unionByName(one)), blocks + 1
-    if blocks > 1:
-        found = found.groupBy(id_column).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("ranges")).alias("ranges"), F.flatten(F.collect_list("items")).alias("items"))
+    docs = only(docs, id_column, text_column).toDF("id", "text")
+    blocks = list(item_blocks(benchmark, item_column, item_text, block_bytes))
+    if len(blocks) > 1:
+        docs = materialise(docs.withColumn("row", F.monotonically_increasing_id()))  # written: each block must see the same numbers
+        parts = [_scanned(docs.select("row", "text"), rows, "row", "text", size) for rows in blocks]
+        merged = reduce(DataFrame.unionByName, parts).groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("ranges")).alias("ranges"), F.flatten(F.collect_list("items")).alias("items"))
+        found = merged.join(docs.select("row", "id"), "row")
+    else:
+        found = _scanned(docs, blocks[0], "id", "text", size)
     items_of = F.array_sort(F.array_distinct("items"))
-    counted = found.select(id_column, "n_words", covered(F.col("ranges")).alias("n_hit"), F.size(items_of).cast("long").alias("n_items"), items_of.alias("items"))
+    counted = found.select(F.col("id").alias(id_column), "n_words", covered(F.col("ranges")).alias("n_hit"), F.size(items_of).cast("long").alias("n_items"), items_of.alias("items"))
     return counted.withColumn("contaminated", F.col("n_hit") > 0)
 
 

@@ -30,6 +30,17 @@ def test_decontamination_of_odd_rows_in_blocks(spark):
     assert all(not x[4] for x in by_id(decontaminate(docs, bench.limit(0))).values())
 
 
+def test_decontamination_in_blocks_keeps_repeated_and_null_ids(spark):
+    bench = spark.createDataFrame([(i, f"alpha{i} beta{i} gamma{i}") for i in range(40)], "item_id long, text string")
+    texts = ["x alpha1 beta1 gamma1", "alpha2 beta2 gamma2 y z alpha3 beta3 gamma3", "clean text", "clean text", "alpha4 beta4 gamma4", None, ""]
+    docs = spark.createDataFrame(list(zip([1, 1, 1, 1, None, None, 7], texts, strict=True)), "doc_id long, text string")
+    want = sorted(map(repr, [(1, 4, 3, 1, ["1"], True), (1, 8, 6, 2, ["2", "3"], True), (1, 2, 0, 0, [], False), (1, 2, 0, 0, [], False), (None, 3, 3, 1, ["4"], True), (None, 0, 0, 0, [], False), (7, 0, 0, 0, [], False)]))
+    for block_bytes in (1 << 20, 200):
+        assert sorted(repr(tuple(r)) for r in decontaminate(docs, bench, block_bytes=block_bytes).collect()) == want
+    named = docs.withColumnsRenamed({"doc_id": "items", "text": "ranges"})
+    assert sorted(repr(tuple(r)) for r in decontaminate(named, bench, "items", "ranges", block_bytes=200).toDF("i", "w", "h", "n", "k", "c").collect()) == want
+
+
 def test_line_dedup_equals_brute_force(spark):
     docs = spark.read.parquet(f"{brute.SF}/documents.parquet")
     assert by_id(queries.op3_line_dedup(spark, brute.SF)) == brute.line_deduped(brute.rows_of(docs))
