@@ -92,7 +92,7 @@ DIGIT_GENERATORS = (
     ("secret", re.compile(r"(?<![A-Za-z0-9])(?=[a-z]*[0-9])[0-9A-Fa-f]{24,}(?![A-Za-z0-9])")),
 )
 WORD_GENERATORS = (
-    (("token", "secret", "key", "password", "passwd", "pwd"), "secret", re.compile(r"(?i)(?:token|secret|key|password|passwd|pwd)[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?P<s>[^\s\"'|]{6,200})")),
+    (("token", "secret", "key", "password", "passwd", "pwd"), "secret", re.compile(r"(?i)(?:token|secret|key|password|passwd|pwd)[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?P<s>[^\s\"'|]{6,})")),
     (("(at)", "[at]", "{at}", " at "), "email", re.compile(r"(?i)(?<![A-Z0-9._-])[A-Z0-9._-]{1,64}\s?(?:[\[({]at[\])}]| at )\s?[A-Z0-9-]{1,63}(?:\s?(?:[\[({]dot[\])}]| dot |\.)\s?[A-Z0-9-]{2,63}){1,3}(?![A-Z0-9-])")),
 )
 #: Words near a span that speak for a kind, and some that speak against all.

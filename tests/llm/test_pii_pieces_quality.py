@@ -49,6 +49,16 @@ def test_pii_of_odd_rows(spark):
     assert find_pii(brute.empty(spark)).count() == 0
 
 
+def test_long_secrets_are_redacted_to_their_end():
+    r = random.Random(8)
+    model, thresholds = trained()
+    for n in (199, 200, 201, 450, 3000):
+        value = "".join(r.choice("ABCDEFghijklmnop0123456789-_.") for _ in range(n))
+        for text in (f'token: "{value}" and more', f"set api_key={value}\nnext"):
+            (_, spans), = find_all([text], model, thresholds)
+            assert redacted(text, spans) == text.replace(value, "[secret]")
+
+
 def test_boosted_trees_find_held_out_spans():
     model, thresholds = trained()
     right = 0
