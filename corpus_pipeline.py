@@ -34,12 +34,21 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id stays. Rows without id stay as they are."""
-    kept = near_dedup(docs).where("kept").select("doc_id").distinct()
+    """Of each group of near copies the document with the least id stays. Rows without id stay as they are.
+
+    Rows of one id with different texts are documents of their own; of rows with the same id and text one stays.
+    """
     named = docs.where(F.col("doc_id").isNotNull())
     if named.groupBy("doc_id").count().where(F.col("count") > 1).limit(1).count():
-        named = named.dropDuplicates(["doc_id"])
-    return named.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+        once = named.dropDuplicates(["doc_id", "text"]).select("doc_id", "text", F.struct("*").alias("row"))
+        ordered = once.orderBy("doc_id", F.sha2("text", 256))
+        numbered = materialise(ordered.select(F.monotonically_increasing_id().alias("number"), "text", "row"))  # in the order of the ids
+        kept = near_dedup(numbered, "number").where("kept").select("number")
+        chosen = numbered.join(kept, "number", "left_semi").select("row.*")
+    else:
+        kept = near_dedup(docs).where("kept").select("doc_id").distinct()
+        chosen = named.join(kept, "doc_id", "left_semi")
+    return chosen.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

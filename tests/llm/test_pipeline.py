@@ -68,6 +68,15 @@ def test_pipeline_equals_brute_force(spark):
         assert v.decode(got[d].ids) == t
 
 
+def test_rows_of_one_id_with_different_texts_are_documents_of_their_own(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, c), (4, c), (5, c + " more"), (6, ""), (6, ""), (6, None), (None, a), (None, a)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, number string")
+    out = corpus_pipeline.one_of_each_group(spark, docs, brute.SF)
+    want = [(1, a, "x"), (2, b, "x"), (4, c, "x"), (6, "", "x"), (6, None, "x"), (None, a, "x"), (None, a, "x")]
+    assert out.columns == docs.columns and sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+
+
 def test_each_stage_takes_odd_rows(spark):
     for docs in (brute.odd(spark), brute.empty(spark), brute.odd(spark).union(brute.odd(spark)), brute.with_clashes(brute.odd(spark), "kept", "n_words", "clean_text", "n_lines")):
         for name, stage in corpus_pipeline.STAGES:
