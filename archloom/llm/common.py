@@ -9,17 +9,20 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: ASCII white space, the separator set of every word contract.
 SPACE = " \t\n\x0b\x0c\r"
+#: Splits of the default size up to which a table counts as small.
+SMALL_SPLITS = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; one of fewer file splits than there are cores is dealt out, so that a small file keeps all of them busy."""
+    """A table. Up to SMALL_SPLITS file splits, about 1 GB, are dealt out over the cores; what is larger is never moved."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    splits, cores = df.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if splits < min(cores, SMALL_SPLITS + 1) else df
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -56,6 +59,11 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(c) for c in columns])
 
 
+def arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    """The Arrow type of a column, for ids that pass through Python."""
+    return to_arrow_type(df.schema[column].dataType)
+
+
 def byte_rows(batches: Iterator[pa.RecordBatch], id_column: str, text_column: str, limit: int = 1 << 18) -> Iterator[tuple[list[int], list[bytes]]]:
     """Ids and UTF-8 texts (null: empty) in slices of about `limit` bytes; a longer text comes alone."""
     ids: list[int] = []

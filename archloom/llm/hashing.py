@@ -1,18 +1,18 @@
-"""Vectorised 64-bit hashes of words and windows over byte buffers.
-
-The hash of bytes [l, r) is (Q[r] - Q[l]) * base^-l modulo 2^64, with Q the running sum of table[byte] * base^position:
-it doesn't depend on the place, so a buffer may be cut anywhere between words.
-"""
+"""Words of byte buffers, their 128-bit ids, and mixed hashes, vectorised."""
 
 from __future__ import annotations
 
-from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
-UNBASE = pow(BASE, -1, 1 << 64)
+#: Keys of the hashes; any values do.
+SALT = b"archloom corpus."
+LANES = np.random.default_rng(20_012).integers(1, 2**63, (2, 3), dtype=np.uint64) * U(2) + U(1)
+#: Masks of the first n bytes of a little-endian 64-bit number.
+MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=np.uint64)
 TABLE = np.random.default_rng(20_011).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -31,50 +31,43 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n + 1, BASE, dtype=np.uint64), np.full(n + 1, UNBASE, dtype=np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i for i up to n at least."""
-    return _powers(max(1 << 16, 1 << (n - 1).bit_length()) if n else 1 << 16)
+def word_spans(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs without ASCII white space."""
+    space = np.ones(len(buffer) + 2, dtype=bool)
+    space[1:-1] = IS_SPACE[buffer]
+    change = np.flatnonzero(space[1:] != space[:-1])
+    return change[::2], change[1::2]
 
 
-def running(values: np.ndarray) -> np.ndarray:
-    """Q of a sequence of 64-bit values."""
-    out = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * powers(len(values))[0][: len(values)], dtype=np.uint64, out=out[1:])
+def word_ids(buffer: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128 bits for each word [start, end), as rows of two 64-bit numbers: the word itself and its length if it has at most
+    15 bytes, else 120 bits of a salted BLAKE2b digest. Short words never clash, long ones not by their structure."""
+    n = end - start
+    padded = np.concatenate([buffer, np.zeros(16, dtype=np.uint8)])
+    eight = np.ndarray(len(buffer) + 9, dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
+    out = np.empty((len(start), 2), dtype=np.uint64)
+    out[:, 0] = eight[start] & MASKS[np.minimum(n, 8)]
+    out[:, 1] = (eight[np.minimum(start + 8, len(buffer))] & MASKS[np.clip(n - 8, 0, 7)]) | (np.minimum(n, 15).astype(np.uint64) << U(56))
+    for i in np.flatnonzero(n > 15).tolist():
+        out[i] = np.frombuffer(digest(buffer[start[i] : end[i]]), dtype="<u8")
+        out[i, 1] |= U(0xFF << 56)
     return out
 
 
-def between(q: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Mixed hashes of the stretches [start, end), which must not be equal only by length: the length goes in."""
-    return mix((q[end] - q[start]) * powers(len(q))[1][start] + (end - start).astype(np.uint64) * U(0xC2B2AE3D27D4EB4F))
+def digest(content) -> bytes:
+    """128 bits that stand for a content wherever contents are only compared by name."""
+    return blake2b(content, digest_size=16, salt=SALT).digest()
 
 
-def word_spans(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs without ASCII white space."""
-    space = np.ones(len(buffer) + 2, dtype=bool)
-    space[1:-1] = IS_SPACE[buffer]
-    change = np.flatnonzero(space[1:] != space[:-1])
-    return change[::2], change[1::2]
+def scrambled(ids: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64 mixed bits of each word id; the two lanes together lose nothing of it in practice."""
+    return mix(mix(ids[:, 0] ^ LANES[lane, 0]) + (ids[:, 1] ^ LANES[lane, 1]) * LANES[lane, 2])
 
 
-def word_hashes(buffer: np.ndarray, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the words of a buffer, in blocks that end between words."""
+def words_in(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ids of the words of a buffer."""
     start, end = word_spans(buffer)
-    out = np.empty(len(start), dtype=np.uint64)
-    first = 0
-    while first < len(start):
-        last = max(first + 1, int(np.searchsorted(end, start[first] + block, side="right")))
-        l, r = int(start[first]), int(end[last - 1])
-        q = running(TABLE[buffer[l:r]])
-        out[first:last] = between(q, start[first:last] - l, end[first:last] - l)
-        first = last
-    return start, end, out
+    return start, word_ids(buffer, start, end)
 
 
 def joined_texts(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:

@@ -19,13 +19,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archloom.llm.common import byte_rows, materialise, only
+from archloom.llm.common import arrow_type, byte_rows, materialise, only
 from archloom.llm.components import connected_components
-from archloom.llm.hashing import U, joined_texts, mix, word_hashes
+from archloom.llm.hashing import U, digest, joined_texts, mix, scrambled, words_in
 
 
 @dataclass(frozen=True)
@@ -62,25 +61,66 @@ MULTIPLIERS = tuple(RNG.integers(1, 2**63, 64, dtype=np.uint64) * U(2) + U(1))
 FIRST, SECOND = (RNG.integers(0, 2**31, 4096, dtype=np.uint32) * np.uint32(2) + np.uint32(1) for _ in range(2))
 
 
-def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
-    """For each text the sorted distinct hashes of its shingles; fewer words than `size` make one shingle."""
+Shingles = tuple[np.ndarray, np.ndarray]
+
+
+def distinct(a: np.ndarray, b: np.ndarray) -> Shingles:
+    """The distinct pairs, in the order of their first halves."""
+    order = np.argsort(a, kind="stable")
+    x, y = a[order], b[order]
+    same = x[1:] == x[:-1]
+    if (same & (y[1:] != y[:-1])).any():  # first halves clash: the order of the second ones counts too
+        order = np.lexsort((b, a))
+        x, y = a[order], b[order]
+        same = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
+    keep = np.ones(len(x), dtype=bool)
+    keep[1:] = ~same
+    return x[keep], y[keep]
+
+
+def shared(x: Shingles, y: Shingles) -> int:
+    """How many shingles two sets share."""
+    if any((s[0][1:] == s[0][:-1]).any() for s in (x, y)):
+        return len(set(zip(*(h.tolist() for h in x), strict=True)) & set(zip(*(h.tolist() for h in y), strict=True)))
+    _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
+    return int((x[1][i] == y[1][j]).sum())
+
+
+def numbered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each distinct shingle."""
+    order = np.lexsort((b, a))
+    fresh = np.zeros(len(order), dtype=np.int64)
+    fresh[1:] = (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = np.cumsum(fresh)
+    return out
+
+
+def shingle_sets(texts: list[bytes], size: int) -> list[Shingles]:
+    """For each text its distinct shingles as 128 bits in two halves; fewer words than `size` make one shingle.
+
+    Each half is a chain of mixing steps over its own 64 bits of the words' ids: no sum, so that no structure of words
+    or of their order makes different shingles alike.
+    """
     buffer, at = joined_texts(texts, lower=True)
-    start, _, word = word_hashes(buffer)
+    start, ids = words_in(buffer)
     cut = np.searchsorted(start, at)
-    n = max(0, len(word) - size + 1)
-    whole = np.zeros(n, dtype=np.uint64)
-    for k in range(size):
-        whole += word[k : k + n] * MULTIPLIERS[k]
-    whole = mix(whole)
+    lanes = [scrambled(ids, lane) for lane in (0, 1)]
+
+    def chained(words: list[np.ndarray]) -> np.ndarray:
+        h = mix(words[0] + U(len(words)))
+        for w in words[1:]:
+            h = mix(h * MULTIPLIERS[0] + w)
+        return h
+
+    n = max(0, len(start) - size + 1)
+    halves = [chained([lane[k : k + n] for k in range(size)]) for lane in lanes]
     out = []
     for l, r in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
         if r - l >= size:
-            out.append(np.unique(whole[l : r - size + 1]))
-        elif r > l:
-            short = (word[l:r] * np.array(MULTIPLIERS[: r - l])).sum(dtype=np.uint64, keepdims=True)
-            out.append(mix(short + U(r - l)))
+            out.append(distinct(*(h[l : r - size + 1] for h in halves)))
         else:
-            out.append(np.zeros(0, dtype=np.uint64))
+            out.append(tuple(chained([lane[k : k + 1] for k in range(l, r)]) if r > l else lane[:0] for lane in lanes))
     return out
 
 
@@ -133,18 +173,18 @@ def mismatches(x: Column, y: Column, rules: NearRules) -> Column:
 
 
 def signatures(docs: DataFrame, id_column: str, text_column: str, rules: NearRules) -> DataFrame:
-    """(id, n, same, keys, sig): set size, a hash of the whole set, band keys, packed signature."""
-    kind = docs.schema[id_column].dataType.simpleString()
+    """(id, n, same, keys, sig): set size, 128 bits that name the whole set, band keys, packed signature."""
+    kind, id_type = docs.schema[id_column].dataType.simpleString(), arrow_type(docs, id_column)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in byte_rows(batches, id_column, text_column):
             sets = shingle_sets(texts, rules.shingle)
-            values = [minima(s, rules.minima) for s in sets]
+            values = [minima(s[0], rules.minima) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids),
-                    pa.array([len(s) for s in sets], type=pa.int64()),
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], type=pa.binary()),
+                    pa.array(ids, type=id_type),
+                    pa.array([len(s[0]) for s in sets], type=pa.int64()),
+                    pa.array([digest(s[0].tobytes() + s[1].tobytes()) for s in sets], type=pa.binary()),
                     pa.array([band_keys(v, rules) for v in values], type=pa.list_(pa.int64())),
                     pa.array([packed(v, rules.bits) for v in values], type=pa.list_(pa.int64())),
                 ],
@@ -155,32 +195,43 @@ def signatures(docs: DataFrame, id_column: str, text_column: str, rules: NearRul
 
 
 def full_sets(docs: DataFrame, id_column: str, text_column: str, rules: NearRules) -> DataFrame:
-    kind = docs.schema[id_column].dataType.simpleString()
+    kind, id_type = docs.schema[id_column].dataType.simpleString(), arrow_type(docs, id_column)
+    halves = pa.list_(pa.int64())
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in byte_rows(batches, id_column, text_column):
-            sets = [s.view(np.int64) for s in shingle_sets(texts, rules.shingle)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sets, type=pa.list_(pa.int64()))], names=["id", "set"])
+            sets = shingle_sets(texts, rules.shingle)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, type=id_type), *(pa.array([s[k].view(np.int64) for s in sets], type=halves) for k in (0, 1))], names=["id", "set", "more"])
 
-    return docs.mapInArrow(make, f"id {kind}, set array<long>")
+    return docs.mapInArrow(make, f"id {kind}, set array<long>, more array<long>")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, id_column: str, text_column: str, rules: NearRules) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     involved = pairs.select(F.col("a").alias(id_column)).union(pairs.select("b")).distinct()
-    sets = materialise(full_sets(docs.join(involved, id_column, "left_semi"), id_column, text_column, rules).dropDuplicates(["id"]))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    sets = materialise(full_sets(docs.join(involved, id_column, "left_semi"), id_column, text_column, rules))
+    load = pairs.groupBy("a").agg(F.ceil(F.count("*") / rules.set_block).alias("blocks"))
+    placed = pairs.join(load, "a").withColumn("block", F.pmod(F.xxhash64("b"), "blocks"))
+    members = placed.join(sets.select(F.col("id").alias("b"), "set", "more"), "b").select("a", "block", "b", "set", "more")
+    first = load.join(sets.select(F.col("id").alias("a"), "set", "more"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(None).cast(pairs.schema["b"].dataType).alias("b"), "set", "more")
+    # each set travels once a pair, a pivot's once a block of its pairs; it stands before them and is held while they pass
+    together = members.unionByName(first).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot: Shingles = (np.zeros(0), np.zeros(0))
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= rules.min_pct * (len(x) + len(y) - common))
+            for b, x, y in zip(batch.column("b"), batch.column("set"), batch.column("more"), strict=True):
+                own = x.values.to_numpy(), y.values.to_numpy()
+                if not b.is_valid:
+                    pivot = tuple(h.copy() for h in own)
+                    keep.append(False)
+                    continue
+                common = shared(pivot, own)
+                keep.append(100 * common >= rules.min_pct * (len(pivot[0]) + len(own[0]) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(check, pairs.schema)
+    return together.mapInArrow(check, pairs.schema)
 
 
 def in_blocks(members: DataFrame, key: str, block: int, attached: DataFrame):
@@ -212,11 +263,10 @@ class Forest:
         return js
 
 
-def sides(part: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """The one or two blocks of a group."""
+def sides(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the one or two blocks of a group."""
     own = part["own"].to_numpy()
-    lo, hi = own.min(), own.max()
-    return part[own == lo].reset_index(drop=True), part[own == hi].reset_index(drop=True)
+    return np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())
 
 
 def allowed(x: pd.DataFrame, y: pd.DataFrame, rules: NearRules) -> Iterator[tuple[int, np.ndarray]]:
@@ -242,7 +292,7 @@ def across(members: DataFrame, sigs: DataFrame, rules: NearRules) -> DataFrame:
     kind = members.schema["component"].dataType.simpleString()
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
-        x, y = sides(part)
+        x, y = (part.iloc[i].reset_index(drop=True) for i in sides(part))
         cx, cy = x["component"].to_numpy(), y["component"].to_numpy()
         forest, out = Forest(cx, cy), []
         for at, may in allowed(x, y, rules):
@@ -261,23 +311,24 @@ def settled(members: DataFrame, sigs: DataFrame, sets: DataFrame, rules: NearRul
     kind = members.schema["rep"].dataType.simpleString()
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
-        x, y = sides(part)
+        ix, iy = sides(part)
+        x, y = (part.iloc[i].reset_index(drop=True) for i in (ix, iy))
         rx, ry = x["rep"].to_numpy(), y["rep"].to_numpy()
-        sizes = np.array([len(s) for s in y["set"]])
-        names, ids = np.unique(np.concatenate(y["set"].to_numpy()), return_inverse=True)
-        start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        sizes = np.array([len(s) for s in part["set"]])
+        code = np.split(numbered(np.concatenate(part["set"].to_numpy()), np.concatenate(part["more"].to_numpy())), np.cumsum(sizes)[:-1])
+        names = 1 + max(int(c.max()) for c in code)
+        flat, sizes = np.concatenate([code[i] for i in iy]), sizes[iy]
+        start = np.cumsum(sizes) - sizes
         forest, out = Forest(x["component"].to_numpy(), y["component"].to_numpy()), []
         for at, may in allowed(x, y, rules):
             for i in np.flatnonzero(may.any(axis=1)).tolist():
                 js = forest.apart(at + i, np.flatnonzero(may[i]))
                 if not len(js):
                     continue
-                own = np.asarray(x["set"][at + i])
-                place = np.searchsorted(names, own)
-                place[place == len(names)] = 0
-                marks = np.zeros(len(names), dtype=np.int32)
-                marks[place[names[place] == own]] = 1
-                common = np.add.reduceat(marks[ids], start)[js]
+                own = code[ix[at + i]]
+                marks = np.zeros(names, dtype=np.int32)
+                marks[own] = 1
+                common = np.add.reduceat(marks[flat], start)[js]
                 good = 100 * common >= rules.min_pct * (len(own) + sizes[js] - common)
                 out += [(rx[at + i], r) for r in ry[forest.join(at + i, js[good])].tolist()]
         return pd.DataFrame(out, columns=["a", "b"])
@@ -293,42 +344,48 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     linked with nothing and kept. An empty table gives an empty result; further columns are ignored.
     """
     docs = only(docs, id_column, text_column)
+    named = docs.where(F.col(id_column).isNotNull())
+    if not named.groupBy(id_column).count().where(F.col("count") > 1).limit(1).count():
+        return _of_unique_ids(docs, id_column, text_column, rules)
+    ordered = named.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).orderBy("id", F.md5("text"))
+    rows = materialise(ordered.withColumn("row", F.monotonically_increasing_id()))  # written: the numbers must not change
+    found = materialise(_of_unique_ids(rows, "row", "text", rules).select("row", "n_shingles", F.col("component_id").alias("group")))
+    known = rows.select("row", "id").join(found, "row")
+    first = known.groupBy("id").agg(F.min("group").alias("least"))
+    groups = connected_components(known.join(first, "id").select(F.col("group").alias("a"), F.col("least").alias("b")).distinct())
+    least = groups.select(F.col("id").alias("group"), F.col("component").alias("row")).join(rows.select("row", F.col("id").alias("component_id")), "row").select("group", "component_id")
+    out = known.join(least, "group").select(F.col("id").alias(id_column), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return out.unionByName(_of_unique_ids(docs.where(F.col(id_column).isNull()), id_column, text_column, rules))
+
+
+def _of_unique_ids(docs: DataFrame, id_column: str, text_column: str, rules: NearRules) -> DataFrame:
     made = materialise(signatures(docs, id_column, text_column, rules))
     known = made.where(F.col("id").isNotNull())
     reps = materialise(known.where(F.col("n") > 0).groupBy("same").agg(F.min("id").alias("rep")))
     of = reps.select(F.col("rep").alias("id"), "same")
-    speakers = materialise(known.join(of, ["id", "same"], "left_semi").select(F.col("id").alias("rep"), "keys", "sig").dropDuplicates(["rep"]))
+    speakers = materialise(known.join(of, ["id", "same"], "left_semi").select(F.col("id").alias("rep"), "keys", "sig"))
 
     sigs = speakers.select("rep", "sig")
     buckets = speakers.select(F.explode("keys").alias("key"), "rep")
-    pivots = buckets.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("m")).where(F.col("m") > 1).select("key", "a")
-    shared = materialise(buckets.join(pivots, "key"))
-    tried = shared.where(F.col("a") != F.col("rep")).select("a", F.col("rep").alias("b")).distinct()
+    pivots = materialise(buckets.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("m")).where(F.col("m") > 1).select("key", "a"))
+    held = materialise(buckets.join(pivots, "key"))  # plain scans on both sides, so that a skewed bucket is split at run time
+    tried = held.where(F.col("a") != F.col("rep")).select("a", F.col("rep").alias("b")).distinct()
     sig = lambda name, out: sigs.select(F.col("rep").alias(name), F.col("sig").alias(out))
     likely = tried.join(sig("b", "y"), "b").join(sig("a", "x"), "a").where(mismatches(F.col("x"), F.col("y"), rules) <= rules.most_mismatches()).select("a", "b")
     links = materialise(confirmed(materialise(likely), docs, id_column, text_column, rules))
     groups = connected_components(links)
 
     component = F.coalesce("component", "rep").alias("component")
-    placed = shared.join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", component)
+    placed = held.join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", component)
     clusters = connected_components(across(placed, sigs, rules))
-    same_id = known.join(reps, "same").select(F.col("id").alias("a"), F.col("rep").alias("b")).where(F.col("a") != F.col("b")).distinct()
     if clusters.limit(1).count():
         apart = placed.select("rep", "component").distinct().join(clusters.select(F.col("id").alias("component"), F.col("component").alias("cluster")), "component")
         apart = materialise(apart)
-        sets = full_sets(docs.join(apart.select(F.col("rep").alias(id_column)), id_column, "left_semi"), id_column, text_column, rules).dropDuplicates(["id"])
+        sets = full_sets(docs.join(apart.select(F.col("rep").alias(id_column)), id_column, "left_semi"), id_column, text_column, rules)
         found = settled(apart, sigs, sets.withColumnRenamed("id", "rep"), rules)
         groups = connected_components(links.unionByName(found))
     # sets that were equal from the start hang on their speaker
-    final = connected_components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(same_id)) if _repeats(known) else None
-    if final is not None:
-        placed = made.join(final, "id", "left").withColumn("component_id", F.coalesce("component", "id"))
-    else:
-        spoken = made.join(reps, "same", "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")))
-        placed = spoken.join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
+    spoken = made.join(reps, "same", "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")))
+    placed = spoken.join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
     component = F.when(F.col("id").isNotNull(), F.col("component_id"))
     return placed.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
-
-
-def _repeats(known: DataFrame) -> bool:
-    return known.groupBy("id").count().where(F.col("count") > 1).limit(1).count() > 0

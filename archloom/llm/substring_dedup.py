@@ -1,6 +1,7 @@
 """Removal of all copies of long word sequences, by prefix-partitioned suffix trees.
 
 1. Texts are cut into stretches of windows by content-chosen anchors (windows.py); equal stretches repeat as a whole.
+   Words are compared by themselves (128 bits, exact up to 15 bytes), stretches by a salted 128-bit digest of their words.
 2. Where one anchor has unequal stretches, their suffixes are split by prefixes of variable length: a group too large for
    memory gets a longer prefix, a suffix alone in its group is unique and done. Each group becomes a subtree, held
    as its leaves in order with the depth of the node between neighbours. The deep internal nodes, at least a window
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archloom.llm.common import byte_rows, materialise, only
-from archloom.llm.hashing import joined_texts, word_hashes
+from archloom.llm.hashing import joined_texts, scrambled, words_in
 from archloom.llm.windows import MADE, Seen, by_content, by_load, covered, keyed, met, per_text, pieces, ranges_of, rows_of, text_stretches
 
 PIECE = "gram long, k long, lo long, piece binary"
@@ -67,11 +68,21 @@ def deep_leaves(leaves: np.ndarray, depth: np.ndarray, size: int) -> np.ndarray:
     return leaves[near]
 
 
+def numbered(words: np.ndarray) -> np.ndarray:
+    """A number for each distinct word id."""
+    order = np.lexsort((words[:, 1], words[:, 0]))
+    fresh = np.zeros(len(order), dtype=np.int64)
+    fresh[1:] = (np.diff(words[order], axis=0) != 0).any(axis=1)
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = np.cumsum(fresh)
+    return out
+
+
 def all_copies(part: pd.DataFrame, size: int, most: int = 4096) -> pd.DataFrame:
     """Ranges of window starts whose word sequence stands twice or more in the pieces."""
-    held = [np.frombuffer(p, dtype=np.uint64) for p in part["piece"]]
+    held = [np.frombuffer(p, dtype="<u8").reshape(-1, 2) for p in part["piece"]]
     sizes = np.array([len(p) for p in held])
-    names = np.unique(np.concatenate(held), return_inverse=True)[1].astype(np.int64)
+    names = numbered(np.concatenate(held))
     start = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(held)), sizes)
     offset = np.arange(len(names)) - start[owner]
@@ -84,10 +95,6 @@ def all_copies(part: pd.DataFrame, size: int, most: int = 4096) -> pd.DataFrame:
     return pd.DataFrame(dict(zip(("k", "lo", "hi"), ranges_of(np.ones(len(at), dtype=bool), k, p), strict=True)))
 
 
-def hashed_words(text: bytes) -> np.ndarray:
-    return word_hashes(np.frombuffer(text, dtype=np.uint8))[2]
-
-
 def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 35, gram: int = 8, task_bytes: int = 6 << 20, most_rows: int = 20_000) -> DataFrame:
     """Removes every word that a window of `size` words covers whose sequence also starts anywhere else.
 
@@ -106,12 +113,12 @@ def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str
         seen = Seen()
         for ids, texts in byte_rows(batches, "_k", "_text"):
             buffer, at = joined_texts(texts)
-            start, _, words = word_hashes(buffer)
-            own = np.searchsorted(start, at)
-            yield rows_of(text_stretches(lambda a, b: words[a:b], own[:-1], own[1:], size, gram), ids, seen)
+            start, words = words_in(buffer)
+            symbols, own = scrambled(words), np.searchsorted(start, at)
+            yield rows_of(text_stretches(lambda a, b: (symbols[a:b], words[a:b]), own[:-1], own[1:], size, gram), ids, seen)
 
     def contents(text: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
-        words = hashed_words(text)
+        words = words_in(np.frombuffer(text, dtype=np.uint8))[1]
         return [words[lo : hi + size].tobytes() for lo, hi in spans]
 
     made = rows.select("_k", "_text").mapInArrow(cut, MADE)
@@ -119,7 +126,7 @@ def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str
     open_ = materialise(pieces(found, rows, contents, PIECE))
     dealt, hot = by_load(open_, task_bytes, most_rows)
     settled = dealt.groupBy("task").applyInPandas(lambda part: all_copies(part, size), RANGE)
-    ranges = found.where(~F.col("open")).select("k", "lo", "hi").unionByName(settled).unionByName(by_content(hot, 8, size, True))
+    ranges = found.where(~F.col("open")).select("k", "lo", "hi").unionByName(settled).unionByName(by_content(hot, 16, size, True))
     columns = ["_k"] if plain else ["_k", "_id"]
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

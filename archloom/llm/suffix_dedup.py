@@ -2,7 +2,7 @@
 
 1. Texts are cut into stretches of windows by content-chosen anchors (windows.py). The anchors are a difference cover
    that the content draws: equal windows have a sampled position at the same offset, as a fixed cover mod v would give,
-   but at 3 % of all positions instead of two thirds. Equal stretches fall together by their names; later ones go.
+   but at 3 % of all positions instead of two thirds. Equal stretches fall together by their names (salted 128-bit digests of their bytes); later ones go.
 2. Where one anchor has unequal stretches, these are suffix-sorted: triples at positions not divisible by 3 are sorted
    and named, the names are sorted by recursion, the remaining suffixes are merged in, and neighbours in the order are
    compared over the full length. Of equal strings the first in the corpus stays.
@@ -144,7 +144,7 @@ def suffix_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         seen = Seen()
         for ids, texts in byte_rows(batches, "_k", "_text"):
             buffer, at = joined_texts(texts)
-            yield rows_of(text_stretches(lambda a, b: TABLE[buffer[a:b]], at[:-1], at[1:] - 1, size, gram), ids, seen)
+            yield rows_of(text_stretches(lambda a, b: (TABLE[buffer[a:b]], buffer[a:b]), at[:-1], at[1:] - 1, size, gram), ids, seen)
 
     made = rows.select("_k", "_text").mapInArrow(cut, MADE)
     found = materialise(met(made))

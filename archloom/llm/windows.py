@@ -18,27 +18,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from archloom.llm.common import materialise
-from archloom.llm.hashing import BASE, U, between, mix, running
+from archloom.llm.hashing import BASE, U, digest, mix
 
 LOW = U(0xFFFFFFFF)
 
 
 class Stretches(NamedTuple):
-    """Parallel arrays: text number, first and last window start in the text, hash of the anchor's gram and of all symbols."""
+    """Parallel arrays: text number, first and last window start in the text, hash of the anchor's gram, and 128 bits
+    (whole, also) that name the content."""
 
     text: np.ndarray
     lo: np.ndarray
     hi: np.ndarray
     gram: np.ndarray
     whole: np.ndarray
+    also: np.ndarray
 
 
-def stretches(symbols: np.ndarray, start: np.ndarray, end: np.ndarray, size: int, gram: int) -> Stretches:
-    """Stretches of the texts at [start, end) of one symbol array; `gram` is a power of two, at most `size`."""
+def stretches(symbols: np.ndarray, content: np.ndarray, start: np.ndarray, end: np.ndarray, size: int, gram: int) -> Stretches:
+    """Stretches of the texts at [start, end) of one symbol array; `gram` is a power of two, at most `size`.
+
+    symbols: 64-bit hashes, which only deal windows to anchors; content: what the symbols really are, which names stretches.
+    """
     none = np.zeros(0, dtype=np.int64)
     n = len(symbols) - size + 1
     if n <= 0:
-        return Stretches(none, none, none, none, none)
+        return Stretches(none, none, none, none, none, none)
     g, m = symbols, 1
     while m < gram:
         g = g[:-m] * U(pow(BASE, m, 1 << 64)) + g[m:]
@@ -58,13 +63,16 @@ def stretches(symbols: np.ndarray, start: np.ndarray, end: np.ndarray, size: int
             valid[s : e - size + 1] = True
     at = np.flatnonzero(valid)
     if not len(at):
-        return Stretches(none, none, none, none, none)
+        return Stretches(none, none, none, none, none, none)
     text = np.searchsorted(start, at, side="right") - 1
     cut = np.flatnonzero((np.diff(anchor[at]) != 0) | (np.diff(text) != 0))
     first, last = np.concatenate([[0], cut + 1]), np.concatenate([cut, [len(at) - 1]])
     lo, hi, own = at[first], at[last], text[first]
-    q = running(mix(symbols))
-    return Stretches(own, lo - start[own], hi - start[own], g[anchor[lo]].view(np.int64), between(q, lo, hi + size).view(np.int64))
+    width = content.itemsize * (content.shape[1] if content.ndim > 1 else 1)
+    raw = memoryview(np.ascontiguousarray(content)).cast("B")
+    names = b"".join([digest(raw[a:b]) for a, b in zip((lo * width).tolist(), ((hi + size) * width).tolist(), strict=True)])
+    whole = np.frombuffer(names, dtype=np.int64).reshape(-1, 2)
+    return Stretches(own, lo - start[own], hi - start[own], g[anchor[lo]].view(np.int64), whole[:, 0].copy(), whole[:, 1].copy())
 
 
 #: Symbols in one go. A longer text is cut, and its stretches with it; cut stretches are unequal to whole ones, so their
@@ -73,20 +81,20 @@ SEGMENT = 1 << 20
 
 
 def text_stretches(symbols_of, start: np.ndarray, end: np.ndarray, size: int, gram: int, segment: int = SEGMENT) -> Stretches:
-    """Stretches of the texts at [start, end); symbols_of(a, b) gives the symbols between two places. A text that comes
-    alone is read in segments that overlap by all but one symbol of a window."""
+    """Stretches of the texts at [start, end); symbols_of(a, b) gives hashes and contents of the symbols between two places.
+    A text that comes alone is read in segments that overlap by all but one symbol of a window."""
     total = int(end[-1])
     if len(start) > 1 or total <= 2 * segment:
-        return stretches(symbols_of(0, total), start, end, size, gram)
+        return stretches(*symbols_of(0, total), start, end, size, gram)
     parts = []
     for at in range(0, total - size + 1, segment):
         stop = min(total, at + segment + size - 1)
-        s = stretches(symbols_of(at, stop), np.zeros(1, dtype=np.int64), np.array([stop - at]), size, gram)
+        s = stretches(*symbols_of(at, stop), np.zeros(1, dtype=np.int64), np.array([stop - at]), size, gram)
         parts.append(s._replace(lo=s.lo + at, hi=s.hi + at))
     return Stretches(*(np.concatenate(c) for c in zip(*parts, strict=True)))
 
 
-MADE = "k long, lo long, hi long, gram long, whole long, extra boolean"
+MADE = "k long, lo long, hi long, gram long, whole long, also long, extra boolean"
 
 
 class Seen:
@@ -96,36 +104,36 @@ class Seen:
     def __init__(self, bits: int = 18) -> None:
         size = 1 << bits
         self.mask = U(size - 1)
-        self.key, self.sent = np.zeros(size, dtype=np.uint64), np.zeros(size, dtype=np.int8)
+        self.key, self.also, self.sent = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int8)
         self.k, self.lo = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
 
     def extra(self, s: Stretches, k: np.ndarray) -> np.ndarray:
         if not len(k):
             return np.zeros(0, dtype=bool)
-        key = mix(s.gram.view(np.uint64) * U(BASE) + s.whole.view(np.uint64))
+        key, also = s.whole, s.also
         ordered = np.arange(len(k)) if (np.diff(k) >= 0).all() else np.lexsort((s.lo, k))
         order = ordered[np.argsort(key[ordered], kind="stable")]
         fresh = np.ones(len(order), dtype=bool)
-        fresh[1:] = np.diff(key[order]) != 0
+        fresh[1:] = (np.diff(key[order]) != 0) | (np.diff(also[order]) != 0)
         first = np.flatnonzero(fresh)
         run = np.cumsum(fresh) - 1
         nth = np.arange(len(order)) - first[run]
         head = order[first]
-        slot = (key[head] & self.mask).astype(np.int64)
-        hit = (self.key[slot] == key[head]) & (self.sent[slot] > 0)
+        slot = (key[head].view(np.uint64) & self.mask).astype(np.int64)
+        hit = (self.key[slot] == key[head]) & (self.also[slot] == also[head]) & (self.sent[slot] > 0)
         base = np.where(hit, self.sent[slot], 0)
         before = hit & ((self.k[slot] < k[head]) | ((self.k[slot] == k[head]) & (self.lo[slot] < s.lo[head])))
         out = np.zeros(len(k), dtype=bool)
         out[order] = (base[run] + nth >= 2) & ((nth > 0) | before[run])
         n = np.diff(np.append(first, len(order)))
         self.k[slot], self.lo[slot] = np.where(before, self.k[slot], k[head]), np.where(before, self.lo[slot], s.lo[head])
-        self.key[slot], self.sent[slot] = key[head], np.minimum(2, base + n)
+        self.key[slot], self.also[slot], self.sent[slot] = key[head], also[head], np.minimum(2, base + n)
         return out
 
 
 def rows_of(s: Stretches, ids: list[int], seen: Seen) -> pa.RecordBatch:
     k = np.array(ids, dtype=np.int64)[s.text]
-    return pa.RecordBatch.from_arrays([pa.array(k), pa.array(s.lo), pa.array(s.hi), pa.array(s.gram), pa.array(s.whole), pa.array(seen.extra(s, k))], names=["k", "lo", "hi", "gram", "whole", "extra"])
+    return pa.RecordBatch.from_arrays([pa.array(k), pa.array(s.lo), pa.array(s.hi), pa.array(s.gram), pa.array(s.whole), pa.array(s.also), pa.array(seen.extra(s, k))], names=["k", "lo", "hi", "gram", "whole", "also", "extra"])
 
 
 def keyed(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, bool]:
@@ -146,38 +154,33 @@ FOUND = "k long, lo long, hi long, gram long, again boolean, open boolean"
 
 
 def met(made: DataFrame) -> DataFrame:
-    """Where stretches meet. made: k, lo, hi, gram, whole, extra.
+    """Where stretches meet. made: k, lo, hi, gram, whole, also, extra.
 
     Of a stretch that stands in many texts each task sends two at most to its gram; the others are known to be again
     there, and are dealt out evenly.
-    Per gram, equal stretches (by `whole`) form a run in the order of (k, lo). Returned are the stretches that are
+    Per gram, equal stretches (by the 128 bits of their contents) form a run in the order of (k, lo). Returned are the stretches that are
     equal to another (again: to an earlier one) and the first of each run whose gram has several runs (open). The
     sorted rows stream through; a worker holds one batch and one row, whatever the size of a run or gram.
     """
-    columns = ["gram", "whole", "k", "lo", "hi"]
+    columns = ["gram", "whole", "also", "k", "lo", "hi"]
     place = F.when(F.col("extra"), F.xxhash64("k", "lo")).otherwise(F.col("gram"))
-    dealt = made.select(*columns, "extra").repartition(place).sortWithinPartitions(*columns[:4])
+    dealt = made.select(*columns, "extra").repartition(place).sortWithinPartitions(*columns[:5])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each row is judged when the row after it is known."""
-        held: np.ndarray | None = None  # rows not yet judged: the last row seen, as a 5 x 1 array
-        before = None  # (gram, whole) of the row before `held`
+        held: np.ndarray | None = None  # rows not yet judged: the last row seen, as a 6 x 1 array
+        before = None  # (gram, whole, also) of the row before `held`
         first: tuple | None = None  # first row of the run that `held` belongs to, and whether an earlier run has its gram
 
         def judged(rows: np.ndarray, after: tuple | None):
             nonlocal before, first
-            gram, whole = rows[0], rows[1]
-            n = len(gram)
-            pg = np.concatenate([[before[0] if before else 0], gram[:-1]])
-            pw = np.concatenate([[before[1] if before else 0], whole[:-1]])
-            same_gram = gram == pg
-            same_run = same_gram & (whole == pw)
+            gram, n = rows[0], rows.shape[1]
+            same = rows[:3] == np.concatenate([np.array([before or (0, 0, 0)]).T, rows[:3, :-1]], axis=1)
+            same_gram, same_run = same[0], same.all(axis=0)
             if before is None:
                 same_gram[0] = same_run[0] = False
-            ng = np.concatenate([gram[1:], [after[0] if after else 0]])
-            nw = np.concatenate([whole[1:], [after[1] if after else 0]])
-            next_gram = gram == ng
-            next_run = next_gram & (whole == nw)
+            same = rows[:3] == np.concatenate([rows[:3, 1:], np.array([after or (0, 0, 0)]).T], axis=1)
+            next_gram, next_run = same[0], same.all(axis=0)
             if after is None:
                 next_gram[-1] = next_run[-1] = False
             starts = np.flatnonzero(~same_run)
@@ -198,9 +201,9 @@ def met(made: DataFrame) -> DataFrame:
                 parts.append((first[0], np.zeros(1, dtype=bool), np.ones(1, dtype=bool)))
             if len(starts):
                 first = (rows[:, starts[-1] : starts[-1] + 1].copy(), bool(same_gram[starts[-1]]))
-            before = (gram[n - 1], whole[n - 1])
+            before = tuple(rows[:3, n - 1].tolist())
             for r, again, is_open in parts:
-                yield pa.RecordBatch.from_arrays([pa.array(r[2]), pa.array(r[3]), pa.array(r[4]), pa.array(r[0]), pa.array(again), pa.array(is_open)], names=["k", "lo", "hi", "gram", "again", "open"])
+                yield pa.RecordBatch.from_arrays([pa.array(r[3]), pa.array(r[4]), pa.array(r[5]), pa.array(r[0]), pa.array(again), pa.array(is_open)], names=["k", "lo", "hi", "gram", "again", "open"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -217,7 +220,7 @@ def met(made: DataFrame) -> DataFrame:
             if held is not None:
                 rows = np.concatenate([held, rows], axis=1)
             if rows.shape[1] > 1:
-                yield from judged(rows[:, :-1], (rows[0, -1], rows[1, -1]))
+                yield from judged(rows[:, :-1], tuple(rows[:3, -1].tolist()))
             held = rows[:, -1:]
         if held is not None:
             yield from judged(held, None)

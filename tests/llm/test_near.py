@@ -1,10 +1,12 @@
 import random
 
+import numpy as np
 from tests.llm import brute
+from tests.llm.test_repeats import doubled
 
 from archloom.llm import queries
 from archloom.llm.components import connected_components
-from archloom.llm.near_dedup import NearRules, across, near_dedup
+from archloom.llm.near_dedup import NearRules, across, distinct, near_dedup, shared
 
 
 def by_id(df):
@@ -64,3 +66,25 @@ def test_components_of_a_long_chain(spark):
     got = {r.id: r.component for r in connected_components(edges).collect()}
     assert got == {**{i: 5 for i in range(100, 165)}, 5: 5, 1: 1, 2: 1}
     assert connected_components(edges.limit(0)).count() == 0
+
+
+def test_structured_words_are_told_apart(spark):
+    x, y = doubled()
+    docs = spark.createDataFrame([(1, x), (2, y), (3, f"{x} {y} " * 30), (4, f"{y} {x} {x} " * 30)], "doc_id long, text string")
+    assert by_id(near_dedup(docs)) == brute.near_components(brute.rows_of(docs))
+    assert by_id(near_dedup(docs))[2] == (1, 2, True)
+
+
+def test_sets_with_clashing_halves():
+    half = lambda *x: np.array(x, dtype=np.uint64)
+    x = distinct(half(5, 5, 5, 1, 2), half(1, 2, 1, 7, 8))
+    assert sorted(zip(*(h.tolist() for h in x), strict=True)) == [(1, 7), (2, 8), (5, 1), (5, 2)]
+    assert shared(x, distinct(half(5, 5, 1), half(2, 3, 7))) == 2
+    assert shared(distinct(half(5, 1), half(1, 7)), distinct(half(5, 1), half(2, 7))) == 1
+
+
+def test_repeated_ids_with_different_texts(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(200)) for c in "ab")
+    rows = [(7, one), (7, two), (2, one + " end"), (9, two + " end"), (9, "alone"), (None, one), (3, "alone"), (4, "other")]
+    got = sorted(map(repr, map(tuple, near_dedup(spark.createDataFrame(rows, "doc_id int, text string")).collect())))
+    assert got == sorted(map(repr, [(7, 196, 2, False), (7, 196, 2, False), (2, 197, 2, True), (9, 197, 2, False), (9, 1, 2, False), (None, 196, None, True), (3, 1, 2, False), (4, 1, 4, True)]))

@@ -6,7 +6,8 @@ import pytest
 from tests.llm import brute
 
 from archloom.llm import queries
-from archloom.llm.hashing import TABLE, word_hashes
+from archloom.llm import windows
+from archloom.llm.hashing import TABLE, word_ids, word_spans
 from archloom.llm.substring_dedup import deep_leaves, prefix_groups, substring_dedup, subtree
 from archloom.llm.suffix_dedup import suffix_dedup, suffix_order
 from archloom.llm.windows import Seen, Stretches, stretches, text_stretches
@@ -43,7 +44,7 @@ def test_stretches_hold_every_window_once_and_equal_windows_alike():
     texts.append(texts[3][20:200])
     buffer = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
     at = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    s = stretches(TABLE[buffer], at[:-1], at[1:] - 1, 40, 8)
+    s = stretches(TABLE[buffer], buffer, at[:-1], at[1:] - 1, 40, 8)
     seen, of = [], {}
     for t, lo, hi, g in zip(s.text.tolist(), s.lo.tolist(), s.hi.tolist(), s.gram.tolist(), strict=True):
         for j in range(lo, hi + 1):
@@ -56,10 +57,10 @@ def test_a_long_text_in_segments():
     r = random.Random(9)
     text = np.frombuffer("".join(r.choice("abc") for _ in range(3000)).encode(), dtype=np.uint8)
     at, end = np.array([0]), np.array([len(text)])
-    whole = stretches(TABLE[text], at, end, 40, 8)
+    whole = stretches(TABLE[text], text, at, end, 40, 8)
     of = {j: g for lo, hi, g in zip(whole.lo, whole.hi, whole.gram, strict=True) for j in range(lo, hi + 1)}
     for segment in (50, 333, 1499):
-        s = text_stretches(lambda a, b: TABLE[text[a:b]], at, end, 40, 8, segment)
+        s = text_stretches(lambda a, b: (TABLE[text[a:b]], text[a:b]), at, end, 40, 8, segment)
         got = {j: g for lo, hi, g in zip(s.lo, s.hi, s.gram, strict=True) for j in range(lo, hi + 1)}
         assert got == of and sum(s.hi - s.lo + 1) == len(of)
 
@@ -88,11 +89,36 @@ def test_subtrees_find_the_repeats():
         assert found == {i for i in at.tolist() if w.count(w[i]) > 1}
 
 
-def test_word_hashes_do_not_depend_on_blocks():
-    buffer = np.frombuffer(" a bb  ccc\td\n".encode() * 50 + b"x" * 100, dtype=np.uint8)
-    for block in (1, 7, 64):
-        for a, b in zip(word_hashes(buffer), word_hashes(buffer, block), strict=True):
-            assert (a == b).all()
+def test_word_ids_are_the_words():
+    words = ["", "a", "b", "a\0", "x" * 8, "x" * 15, "x" * 15 + "\0", "x" * 16, "x" * 17, "é" * 7, "é" * 8, *doubled()]
+    text = np.frombuffer(" ".join([*words, *words]).encode(), dtype=np.uint8)
+    ids = list(map(tuple, word_ids(text, *word_spans(text)).tolist()))
+    half = len(words) - 1
+    assert ids[:half] == ids[half:] and len(set(ids)) == half
+
+
+def doubled():
+    """Two words of 1,024 letters that are equal under any polynomial modulo 2^64."""
+    x, y = "a", "b"
+    while len(x) < 1024:
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_structured_words_are_told_apart(spark):
+    x, y = doubled()
+    tail = " " + " ".join(f"w{i}" for i in range(34))
+    docs = spark.createDataFrame([(1, x + tail), (2, y + tail), (3, " ".join([x, y, y, x] * 20)), (4, " ".join([y, x, x, y] * 20))], "doc_id long, text string")
+    assert substrings(substring_dedup(docs)) == brute.substring_deduped([tuple(r) for r in docs.collect()])
+    assert substring_dedup(docs.where("doc_id < 3")).agg({"n_removed": "sum"}).first()[0] == 0
+
+
+def test_clashing_grams_are_settled_by_content(spark, tangled, monkeypatch):
+    """With grams that say nothing all stretches meet; what is equal is decided by content alone."""
+    monkeypatch.setattr(windows, "mix", lambda x: x & windows.U(3))
+    docs = spark.createDataFrame(tangled[:60], "doc_id long, text string")
+    assert suffixes(suffix_dedup(docs)) == brute.suffix_deduped(tangled[:60])
+    assert substrings(substring_dedup(docs)) == brute.substring_deduped(tangled[:60])
 
 
 def test_given_documents(spark):
@@ -143,7 +169,7 @@ def test_many_copies_in_any_order(spark):
 
 def test_seen_sends_two_and_all_that_come_earlier():
     seen, n = Seen(bits=4), 6
-    alike = lambda k, lo: (Stretches(np.arange(len(k)), np.array(lo), np.array(lo), np.full(len(k), 7), np.full(len(k), 9)), np.array(k))
+    alike = lambda k, lo: (Stretches(np.arange(len(k)), np.array(lo), np.array(lo), np.full(len(k), 7), np.full(len(k), 9), np.full(len(k), 5)), np.array(k))
     assert seen.extra(*alike([5] * n, range(n))).tolist() == [False, False, True, True, True, True]
     assert seen.extra(*alike([6, 4, 5], [0, 0, 9])).tolist() == [True, False, True]
     assert seen.extra(*alike([], [])).tolist() == []
