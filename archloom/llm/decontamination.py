@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archloom.llm.common import byte_rows, materialise, only
+from archloom.llm.common import arrow_type, byte_rows, materialise, only
 
 #: Bytes to bytes: A-Z to lower case, every other ASCII byte that is no digit or letter to a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -68,9 +68,9 @@ class WuManber:
 class Scanner:
     """All windows of a block of items, grouped by length."""
 
-    def __init__(self, items: list[tuple[str, bytes]], size: int) -> None:
+    def __init__(self, items: list[tuple[str | None, bytes]], size: int) -> None:
         vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
+        owners: dict[tuple[int, ...], set[str | None]] = defaultdict(set)
         for item, text in items:
             ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words_of(text)]
             for at in range(max(1, len(ids) - size + 1) if ids else 0):
@@ -96,7 +96,7 @@ class Scanner:
                 merged[-1] = (merged[-1][0], max(e, merged[-1][1]))
             else:
                 merged.append((s, e))
-        return merged, sorted(found)
+        return merged, sorted(found - {None})
 
 
 def covered(ranges: Column) -> Column:
@@ -110,7 +110,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     """Words of each document that an occurrence of a benchmark window covers.
 
     A window is `size` consecutive words of an item, or the whole item if it has fewer; A-Z count as a-z. Null and
-    empty texts have no words; items without words or id have no windows; repeated items count under their id once;
+    empty texts have no words; items without words have no windows; windows of items without id hit words, but there is nothing
+    to list them by; repeated items count under their id once; a very long text takes as much memory as its words;
     an empty benchmark hits nothing. Every document row gives a row of its own, whatever its id. Items are searched in
     blocks of about `block_bytes` of text; for several blocks, rows are numbered once and merged by number.
 
@@ -132,10 +133,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
 
 def item_blocks(benchmark: DataFrame, item_column: str, item_text: str, block_bytes: int) -> Iterator:
     """Broadcasts of [(item, text)], each of about `block_bytes` of text."""
-    items = benchmark.where(F.col(item_column).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_column).cast("string").alias("i"), F.col(item_text).alias("t"))
+    items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_column).cast("string").alias("i"), F.col(item_text).alias("t"))
     blocks = 1 + (items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // block_bytes
     for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == block) if blocks > 1 else items
+        part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block) if blocks > 1 else items
         yield benchmark.sparkSession.sparkContext.broadcast([(r.i, r.t.encode()) for r in part.collect()])
 
 
@@ -154,7 +155,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_column: str
 
 
 def _scanned(docs: DataFrame, rows, id_column: str, text_column: str, size: int) -> DataFrame:
-    kind = docs.schema[id_column].dataType.simpleString()
+    kind, id_type = docs.schema[id_column].dataType.simpleString(), arrow_type(docs, id_column)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rows.value, size)
@@ -167,7 +168,7 @@ def _scanned(docs: DataFrame, rows, id_column: str, text_column: str, size: int)
                 ranges.append([{"s": s, "e": e} for s, e in hit])
                 items.append(found)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(counts, type=pa.int64()), pa.array(ranges, type=pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), pa.array(items, type=pa.list_(pa.string()))],
+                [pa.array(ids, type=id_type), pa.array(counts, type=pa.int64()), pa.array(ranges, type=pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), pa.array(items, type=pa.list_(pa.string()))],
                 names=[id_column, "n_words", "ranges", "items"],
             )
 

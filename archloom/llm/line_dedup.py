@@ -105,8 +105,9 @@ def line_dedup(docs: DataFrame, text_column: str = "text", min_docs: int = 10, m
     """Removes every line whose key is found in at least `min_docs` documents.
 
     A key is the line without ASCII white space at both ends, A-Z lower-cased. Keys of fewer than `min_chars` code
-    points never count; blank lines stay. Each row is a document: repeated rows count each. A null or empty
-    text is one empty line and comes out as an empty text. An empty table gives an empty result.
+    points never count; blank lines stay. Each row is a document, whatever its id: repeated rows count each. A null or
+    empty text is one empty line and comes out as an empty text. A very long text is held whole by its task, with 16 bytes for
+    each of its lines. An empty table gives an empty result.
 
     Returns the columns of `docs` with the text replaced, and n_lines, n_dropped (columns of that name in `docs`
     give way). Up to `broadcast_keys` frequent keys (16 bytes each) are sent to the executors; beyond that,
@@ -155,31 +156,33 @@ def _without(part: pa.RecordBatch, text_column: str, drops: Iterator[np.ndarray]
 
 
 def _joined(docs: DataFrame, text_column: str, frequent: DataFrame, schema: T.StructType) -> DataFrame:
-    """The same by joins: line numbers to drop belong to a text, whichever rows hold it."""
-    names = docs.columns
+    """The same by joins: line numbers to drop belong to a text, whichever rows hold it. The columns of docs travel in a
+    struct, so that none of their names can clash."""
+    row = T.StructType(docs.schema.fields)
 
     def lines(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for _, text in texts_of(part, text_column):
                 h, d = hashes([key_of(line) for line in text.split(b"\n")]), xxhash.xxh3_128_digest(text)
-                yield pa.RecordBatch.from_arrays([pa.array([d] * len(h), type=pa.binary()), pa.array(np.arange(len(h))), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["_d", "_i", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([pa.array([d] * len(h), type=pa.binary()), pa.array(np.arange(len(h))), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["digest", "i", "h1", "h2"])
 
     def digests(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             d = [xxhash.xxh3_128_digest(text) for _, text in texts_of(part, text_column)]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(d, type=pa.binary())], names=[*part.schema.names, "_d"])
+            packed = pa.StructArray.from_arrays(part.columns, fields=list(part.schema))
+            yield pa.RecordBatch.from_arrays([packed, pa.array(d, type=pa.binary())], names=["row", "digest"])
 
     def drop(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            numbers = part.column("_drop").to_pylist()
+            numbers = part.column("gone").to_pylist()
+            bare = pa.RecordBatch.from_struct_array(part.column("row"))
             hits = []
-            for (_, text), out in zip(texts_of(part, text_column), numbers, strict=True):
+            for (_, text), out in zip(texts_of(bare, text_column), numbers, strict=True):
                 hits.append(np.zeros(text.count(b"\n") + 1, dtype=bool))
                 hits[-1][np.array(out or [], dtype=np.int64)] = True
-            bare = part.select(names)
             yield _without(bare, text_column, iter(hits))
 
-    found = only(docs, text_column).mapInArrow(lines, "_d binary, _i long, h1 long, h2 long").join(frequent, ["h1", "h2"], "left_semi")
-    drops = found.groupBy("_d").agg(F.collect_set("_i").alias("_drop"))
-    marked = docs.mapInArrow(digests, T.StructType([*docs.schema.fields, T.StructField("_d", T.BinaryType())]))
-    return marked.join(drops, "_d", "left").select(*docs.columns, "_drop").mapInArrow(drop, schema)
+    found = only(docs, text_column).mapInArrow(lines, "digest binary, i long, h1 long, h2 long").join(frequent, ["h1", "h2"], "left_semi")
+    drops = found.groupBy("digest").agg(F.collect_set("i").alias("gone"))
+    marked = docs.mapInArrow(digests, T.StructType([T.StructField("row", row), T.StructField("digest", T.BinaryType())]))
+    return marked.join(drops, "digest", "left").select("row", "gone").mapInArrow(drop, schema)

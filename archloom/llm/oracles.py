@@ -24,19 +24,19 @@ sizes AS (SELECT DISTINCT n FROM windows),
 places AS (SELECT id, n, s, array_to_string(list_slice(ws, s, s + n - 1), ' ') AS win FROM (SELECT id, ws, n, unnest(range(1, len(ws) - n + 2)) AS s FROM folded, sizes WHERE kind = 'd' AND len(ws) >= n)),
 hits AS (SELECT p.id, p.n, p.s, w.item FROM places p JOIN windows w ON w.n = p.n AND w.win = p.win),
 cover AS (SELECT id, count(DISTINCT j) AS n_hit FROM (SELECT id, unnest(range(s, s + n)) AS j FROM hits) GROUP BY id),
-items AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT id, item FROM hits) GROUP BY id)
+items AS (SELECT id, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT id, item FROM hits) GROUP BY id)
 SELECT CAST(f.id AS BIGINT) AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM folded f LEFT JOIN cover USING (id) LEFT JOIN items USING (id) WHERE kind = 'd'"""
 
 LINES = f"""
-WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM split),
+WITH split AS (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT row, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM split),
 keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS key FROM lines),
-common AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
-marked AS (SELECT doc_id, line, i, key IN (SELECT key FROM common) AS gone FROM keyed)
+common AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT row) >= 10),
+marked AS (SELECT row, doc_id, line, i, key IN (SELECT key FROM common) AS gone FROM keyed)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id"""
+FROM marked GROUP BY row, doc_id"""
 
 NEAR = f"""
 WITH RECURSIVE lists AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{SPACES}'), lambda x: x <> '') AS ws FROM documents),

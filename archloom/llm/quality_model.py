@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archloom.llm.common import only, text_rows
+from archloom.llm.common import arrow_type, only, text_rows
 
 #: Function words of the four languages of the corpus.
 COMMON = frozenset(
@@ -147,12 +147,13 @@ def linear_scorer(rows: list[tuple[np.ndarray, np.ndarray, float]], size: int, r
 def quality_model(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", sample_rows: int = 4096, bits: int = 15, least_score: float = 0.4) -> DataFrame:
     """A score for every whole text. Columns: id, votes, posterior, score, kept (score >= least_score).
 
-    Votes, pattern counts and scores cover all documents; only the scorer's training rows are a sample, of at most
-    `sample_rows` documents drawn by a hash of id and text. Null and empty texts get the worst votes; repeated
-    rows are scored alike; an empty table gives an empty result; further columns are ignored.
+    Votes, pattern counts and scores cover all documents; only the scorer's training rows are a sample: of the distinct
+    (id, text) pairs the `sample_rows` with the least hashes, so that there are some however often rows are repeated. Null and
+    empty texts get the worst votes; repeated rows are scored alike; a very long text is held whole by its task; an empty
+    table gives an empty result; further columns are ignored.
     """
     docs = only(docs, id_column, text_column)
-    kind, size = docs.schema[id_column].dataType.simpleString(), 1 << bits
+    kind, size, id_type = docs.schema[id_column].dataType.simpleString(), 1 << bits, arrow_type(docs, id_column)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in text_rows(batches, id_column, text_column):
@@ -163,19 +164,28 @@ def quality_model(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     posterior, _ = label_model(patterns)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Words(bits)
-        for _, texts in text_rows(batches, id_column, text_column):
-            made = [(vectorised(t.split(), cache, size), posterior.get(votes(t, t.split()), 0.5)) for t in texts]
+        cache, done = Words(bits), set()
+        for draws, texts in text_rows(batches, "draw", "text"):
+            fresh = {d: t for d, t in zip(draws, texts, strict=True) if d not in done}
+            done.update(fresh)
+            made = [(vectorised(t.split(), cache, size), posterior.get(votes(t, t.split()), 0.5)) for t in fresh.values()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([m[0][0] for m in made], type=pa.list_(pa.int32())), pa.array([m[0][1] for m in made], type=pa.list_(pa.float32())), pa.array([m[1] for m in made])],
-                names=["at", "value", "y"],
+                [pa.array(list(fresh), type=pa.int64()), pa.array([m[0][0] for m in made], type=pa.list_(pa.int32())), pa.array([m[0][1] for m in made], type=pa.list_(pa.float32())), pa.array([m[1] for m in made], type=pa.float64())],
+                names=["draw", "at", "value", "y"],
             )
 
-    # about twice the sample passes the hash, so that the sort below sees few rows
-    share = min(1.0, 2 * sample_rows / max(1, sum(patterns.values())))
-    drawn = F.xxhash64(F.lit("sample"), id_column, text_column)
-    chosen = docs.withColumn("_draw", drawn).where(F.col("_draw") <= F.lit(min(2**63 - 1, int(-(2**63) + share * 2**64)))).orderBy("_draw").limit(sample_rows)
-    rows = [(np.array(r.at, dtype=np.int32), np.array(r.value, dtype=np.float32), r.y) for r in chosen.select(id_column, text_column).mapInArrow(featured, "at array<int>, value array<float>, y double").collect()]
+    # about twice the sample passes the first cut; if many rows are equal it may pass too few, and all are drawn from
+    drawn = docs.select(F.xxhash64(F.lit("sample"), id_column, text_column).alias("draw"), F.col(text_column).alias("text"))
+    total = sum(patterns.values())
+    share = min(1.0, 2 * sample_rows / max(1, total))
+    cut = min(2**63 - 1, int(-(2**63) + share * 2**64))
+    least = [r.draw for r in drawn.select("draw").where(F.col("draw") <= cut).distinct().orderBy("draw").limit(sample_rows).collect()]
+    if len(least) < sample_rows and share < 1:
+        least = [r.draw for r in drawn.select("draw").distinct().orderBy("draw").limit(sample_rows).collect()]
+    last = max(least, default=-(2**63))
+    # a row a draw; each task featurises a draw once, and features of at most sample_rows draws come to the driver
+    chosen = drawn.where(F.col("draw") <= last).mapInArrow(featured, "draw long, at array<int>, value array<float>, y double").dropDuplicates(["draw"])
+    rows = [(np.array(r.at, dtype=np.int32), np.array(r.value, dtype=np.float32), r.y) for r in chosen.collect()]
     weights, bias = linear_scorer(sorted(rows, key=lambda r: (r[2], r[0].tobytes(), r[1].tobytes())), size)
     weights = np.round(weights, 9)
 
@@ -189,7 +199,7 @@ def quality_model(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                 at, value = vectorised(words, cache, size)
                 p = 1 / (1 + np.exp(-np.clip(float(weights[at] @ value) + bias, -30, 30)))
                 out.append((v, posterior.get(v, 0.5), float(p)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(c) for c in zip(*out, strict=True))], names=[id_column, "votes", "posterior", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, type=id_type), *(pa.array(c) for c in zip(*out, strict=True))], names=[id_column, "votes", "posterior", "score"])
 
     scored = docs.mapInArrow(score, f"`{id_column}` {kind}, votes string, posterior double, score double")
     return scored.select(id_column, "votes", F.round("posterior", 6).alias("posterior"), F.round("score", 6).alias("score"), (F.col("score") >= least_score).alias("kept"))

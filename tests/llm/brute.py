@@ -61,14 +61,14 @@ def decontaminated(docs, items, size=10):
     for item, text in items:
         w = split(text)
         for i in range(max(1, len(w) - size + 1) if w else 0):
-            windows[tuple(w[i : i + size])].add(str(item))
+            windows[tuple(w[i : i + size])].update([] if item is None else [str(item)])
     sizes = {len(w) for w in windows}
     out = {}
     for d, text in docs:
         w, hit, found = split(text), set(), set()
         for n in sizes:
             for i in range(len(w) - n + 1):
-                if owners := windows.get(tuple(w[i : i + n])):
+                if (owners := windows.get(tuple(w[i : i + n]))) is not None:
                     hit |= set(range(i, i + n))
                     found |= owners
         out[d] = (len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit))

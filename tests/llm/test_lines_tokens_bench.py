@@ -1,9 +1,11 @@
+import random
+
 import public_tokenizers
 import sentencepiece
 from tests.llm import brute
 
 from archloom.llm import queries
-from archloom.llm.decontamination import decontaminate
+from archloom.llm.decontamination import decontaminate, without_contaminated
 from archloom.llm.line_dedup import line_dedup
 from archloom.llm.token_counts import Transducer, token_counts
 
@@ -22,7 +24,7 @@ def test_decontamination_of_odd_rows_in_blocks(spark):
     items = [(1, "One LINE"), (2, "x"), (3, None), (4, "same line here again same line here again same line"), (5, ""), (None, "word1"), (1, "One LINE")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = brute.with_clashes(brute.odd(spark), "n_words", "items", "ranges")
-    want = brute.decontaminated(brute.rows_of(docs), [i for i in items if i[0]])
+    want = brute.decontaminated(brute.rows_of(docs), items)
     for block_bytes in (1 << 20, 30):
         got = {d: (x[0], x[1], x[2], brute.sha(",".join(x[3])), x[4]) for d, x in by_id(decontaminate(docs, bench, block_bytes=block_bytes)).items()}
         assert got == want
@@ -48,8 +50,7 @@ def test_line_dedup_equals_brute_force(spark):
 
 def test_line_dedup_by_broadcast_and_by_join(spark):
     rows = brute.ODD + [(100 + i, f"Common Line {i % 3} \n own {i}\n{'hot' if i % 2 else ' HOT '}\n", "en", "a", 1) for i in range(60)]
-    docs = brute.with_clashes(spark.createDataFrame(rows, brute.SCHEMA), "n_lines", "h1", "_d")
-    docs = docs.drop("_d")
+    docs = brute.with_clashes(spark.createDataFrame(rows, brute.SCHEMA), "n_lines", "h1", "_d", "_drop", "digest", "gone", "row", "i")
     want = brute.line_deduped([r[:2] for r in rows], 7)
     for most in (1_000_000, 0):
         out = line_dedup(docs, min_docs=7, broadcast_keys=most)
@@ -66,8 +67,54 @@ def test_token_counts_equal_the_library(spark):
     assert token_counts(brute.empty(spark), queries.PIECES).count() == 0
 
 
+def test_transducer_equals_the_library_on_random_texts():
+    t = Transducer(queries.PIECES)
+    model = sentencepiece.SentencePieceProcessor(model_file=queries.PIECES)
+    r, spelled = random.Random(3), t.spelled
+    signs = ["a", "b", "e", "t", "h", " ", " ", "\n", "é", "ß", "漢", "0", ".", "-", "\t", "▁", "😀", "\0", "the", "ation", "  "]
+    texts = []
+    for _ in range(5000):
+        texts.append("".join(r.choice(signs) for _ in range(r.randint(0, 40))))
+        texts.append("".join(r.choice(spelled) for _ in range(r.randint(1, 12))))
+        texts.append("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(1, 60))))
+    texts += [" " * k + end for k in range(40) for end in ("", "the", "x")]
+    assert [t.count(x) for x in texts] == [len(x) for x in model.encode(texts)]
+    assert len(texts) > 15_000
+
+
 def test_chunk_maps_compose_to_the_whole():
     t = Transducer(queries.PIECES)
-    text = "  Two  spaces\n\n a ▁b x" + "y" * 300 + " end  \n" + "the cat sat " * 50 + "<s> ñ\x00 "
-    for size in (1, 2, 3, 7, 50, 1000):
-        assert t.count(text, size) == len(t.library.encode(text))
+    model = sentencepiece.SentencePieceProcessor(model_file=queries.PIECES)
+    for text in ("  Two  spaces\n\n a ▁b x" + "y" * 300 + " end  \n" + "the cat sat " * 50 + "<s> ñ\0 ", "ab" * 700, " " * 100, "\n\n"):
+        whole, want = t.prepared(text), len(model.encode(text))
+        for size in (1, 2, 3, 7, 50, 10_000):
+            maps = [t.chunk(whole[i : i + size]) for i in range(0, len(whole), size)]
+            left, right = maps[0], maps[-1]
+            for m in maps[1:]:
+                left = t.compose(left, m)
+            for m in maps[-2::-1]:
+                right = t.compose(m, right)
+            other = Transducer(queries.PIECES)  # states are read alike by another worker
+            for m in (left, right):
+                assert other.apply(m._replace(tail=other.unpacked(t.packed(m.tail))), other.start)[1] == want
+
+
+def test_long_texts_are_counted_in_chunks(spark):
+    model = sentencepiece.SentencePieceProcessor(model_file=queries.PIECES)
+    rows = [(1, "abcab" * 3000), (2, "the cat\nsat  on " * 1000), (2, "the cat\nsat  on " * 1000), (3, "short"), (4, None), (None, "é漢" * 4000), (5, "x" * 10_001 + " " * 3000)]
+    docs = brute.with_clashes(spark.createDataFrame(rows, "doc_id int, text string"), "digest", "id", "at")
+    got = token_counts(docs, queries.PIECES, split_chars=5000, chunk_chars=777)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr((d, len((t or "").encode()), len(model.encode(t or "")), len(model.encode(t or "")) > 4096)) for d, t in rows)
+
+
+def test_line_dedup_counts_rows_whatever_their_ids(spark):
+    rows = [(1, "same\nown")] * 9 + [(None, "same")]
+    got = sorted(map(repr, ((r.doc_id, r.text) for r in line_dedup(spark.createDataFrame(rows, "doc_id int, text string")).collect())))
+    assert got == sorted(map(repr, [(1, "own")] * 9 + [(None, "")]))
+
+
+def test_items_without_id_hit_and_clean(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "x")], "doc_id int, text string")
+    bench = spark.createDataFrame([(None, "b c")], "item_id long, text string")
+    assert by_id(decontaminate(docs, bench)) == {1: (3, 2, 0, [], True), 2: (1, 0, 0, [], False)}
+    assert [r.doc_id for r in without_contaminated(docs, bench).collect()] == [2]
