@@ -87,26 +87,35 @@ def hubs(degreed: DataFrame, percentile: float = DEFAULT.hub_percentile) -> Data
 
 
 def core(scored: DataFrame, config: EngineConfig = DEFAULT, layer: str = "layer") -> DataFrame:
-    """Adds core: the first k of each layer by importance, above 0, and entry points (where name exists)."""
-    by = W.partitionBy(layer)
-    n = F.count("*").over(by)
-    k = F.least(F.greatest(F.lit(1), F.floor(n * F.lit(config.core_percentile))), F.lit(config.core_max))
-    k = F.greatest(k, F.least(F.lit(config.core_min), n))
-    rank = F.row_number().over(by.orderBy(F.desc("importance"), "id"))
-    chosen = (rank <= k) & (F.col("importance") > 0)
-    return scored.withColumn("core", chosen | is_entry_point(F.col("name")) if "name" in scored.columns else chosen)
+    """Adds core: the first k of each layer by importance, above 0, and entry points (where name exists).
+
+    k is core_max at most, so each task first keeps that many rows of a layer; only those are ranked, and the chosen ones
+    are joined back. Layers are counted apart. Rows of one id and layer are marked alike.
+    """
+    n = scored.groupBy(layer).agg(F.count("*").alias("_n"))
+    k = F.least(F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(config.core_percentile))), F.lit(config.core_max))
+    k = F.greatest(k, F.least(F.lit(config.core_min), F.col("_n")))
+    rank = F.row_number().over(W.partitionBy(layer).orderBy(F.desc("importance"), "id"))
+    most = max(config.core_max, config.core_min)
+    top = scored.select(layer, "id", "importance").withColumn("_r", rank).where(F.col("_r") <= most)
+    best = top.join(n, top[layer].eqNullSafe(n[layer])).where((F.col("_r") <= k) & (F.col("importance") > 0)).select(top[layer].alias("_layer"), F.col("id").alias("_id")).distinct()
+    marked = scored.join(best, scored[layer].eqNullSafe(F.col("_layer")) & (F.col("id") == F.col("_id")), "left")
+    chosen = F.col("_id").isNotNull()
+    chosen = chosen | is_entry_point(F.col("name")) if "name" in scored.columns else chosen
+    return marked.withColumn("core", chosen).drop("_layer", "_id")
 
 
 def dispatch_index(decls: DataFrame, least: int = 2) -> DataFrame:
     """A5: (key, impl, impls, rank): implementors of each short supertype name with at least two, best first.
 
-    decls: id, supertypes, importance. A declaration counts once for a key.
+    decls: id, supertypes, importance. A declaration counts once for a key. Keys are counted apart from the ranking, so
+    that a bound on the rank is pushed below the shuffle.
     """
     named = decls.select("id", "importance", F.explode("supertypes").alias("s")).select(short_name(F.col("s")).alias("key"), F.col("id").alias("impl"), "importance").where(F.col("key").isNotNull())
     once = named.groupBy("key", "impl").agg(F.max("importance").alias("importance"))
-    by = W.partitionBy("key")
-    ranked = once.withColumn("impls", F.count("*").over(by)).where(F.col("impls") >= least)
-    return ranked.withColumn("rank", F.row_number().over(by.orderBy(F.desc("importance"), "impl"))).select("key", "impl", "impls", "rank")
+    sizes = once.groupBy("key").agg(F.count("*").alias("impls")).where(F.col("impls") >= least)
+    ranked = once.withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy(F.desc("importance"), "impl")))
+    return ranked.join(sizes, "key").select("key", "impl", "impls", "rank")
 
 
 def capped(index: DataFrame, fanout: int = DEFAULT.max_fanout) -> DataFrame:

@@ -5,6 +5,8 @@ Rules are small tables: (layer, layer_pos, segment) and (layer, layer_pos, suffi
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -123,6 +125,41 @@ def pack_rows(boxes: DataFrame, width: float, gap: float = 0.0) -> DataFrame:
     return placed.select("layer", F.explode(F.arrays_zip("b", "r")).alias("x")).select("layer", F.col("x.b.id").alias("id"), F.col("x.r").alias("row"))
 
 
+def by_importance(classes: DataFrame, layer: str = "layer") -> DataFrame:
+    """Adds ord: a row's place in its layer, by importance, then id."""
+    return classes.withColumn("ord", F.row_number().over(W.partitionBy(layer).orderBy(F.desc("importance"), "id")))
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """Measures of a drawing, in pixels."""
+
+    node_height: float = 28.0
+    gap_x: float = 12.0
+    gap_y: float = 10.0
+    pad_x: float = 16.0
+    pad_top: float = 34.0
+    pad_bottom: float = 14.0
+    band_gap: float = 18.0
+
+
+def bands(layers: DataFrame, boxes: DataFrame, width: float, sizes: Sizes = Sizes()) -> tuple[DataFrame, DataFrame]:
+    """K8: (bands, nodes): bands (id, x, y, width, height) under each other in the order of layers (id, ord), and the place
+    (layer, id, x, y, w, h) of every box (layer, ord, id, w) in its layer's rows. Layers are few; a window without key
+    runs over them alone."""
+    packed = pack_rows(boxes, width - 2 * sizes.pad_x, sizes.gap_x).join(boxes.select("layer", "id", "ord", "w"), ["layer", "id"])
+    rows = layers.join(packed.groupBy(F.col("layer").alias("id")).agg((F.max("row") + 1).alias("rows")), "id", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    content = F.when(F.col("rows") > 0, F.col("rows") * F.lit(sizes.node_height) + (F.col("rows") - 1) * F.lit(sizes.gap_y)).otherwise(F.lit(0.0))
+    tall = rows.withColumn("height", content + F.lit(sizes.pad_top + sizes.pad_bottom))
+    above = W.orderBy("ord", "id").rowsBetween(W.unboundedPreceding, -1)
+    placed = tall.select("id", F.lit(0.0).alias("x"), F.coalesce(F.sum(F.col("height") + F.lit(sizes.band_gap)).over(above), F.lit(0.0)).alias("y"), F.lit(float(width)).alias("width"), "height")
+    before = W.partitionBy("layer", "row").orderBy("ord", "id").rowsBetween(W.unboundedPreceding, -1)
+    x = F.lit(sizes.pad_x) + F.coalesce(F.sum(F.col("w") + F.lit(sizes.gap_x)).over(before), F.lit(0.0))
+    nodes = packed.withColumn("x", x).join(placed.select(F.col("id").alias("layer"), F.col("y").alias("top")), "layer")
+    y = F.col("top") + F.lit(sizes.pad_top) + F.col("row") * F.lit(sizes.node_height + sizes.gap_y)
+    return placed, nodes.select("layer", "id", "x", y.alias("y"), "w", F.lit(sizes.node_height).alias("h"))
+
+
 def latest_per(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key in an order."""
     return df.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_r") == 1).drop("_r")

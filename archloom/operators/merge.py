@@ -102,15 +102,26 @@ def apply_descriptions(classes: DataFrame, edits: DataFrame) -> DataFrame:
 def alike_flows(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
     """(a_key, b_key) of flows (key, id, seed, nodes) with the same id, the same filled seed, or Jaccard of `least` > 0.
 
-    Each way of being alike is an equi-join; pairs meet on nodes and are counted, so neither side needs to be small.
+    The first two are equi-joins. The third meets on prefixes alone: with nodes in order of rarity over both sides, two sets
+    this similar share one of their first size - ceil(least * size) + 1 nodes, so popular nodes are hardly ever paired.
     """
-    x = a.select(F.col("key").alias("a_key"), "id", filled(F.col("seed")).alias("seed"), F.col("nodes").alias("nx"))
-    y = b.select(F.col("key").alias("b_key"), "id", filled(F.col("seed")).alias("seed"), F.col("nodes").alias("ny"))
+    x = a.select(F.col("key").alias("a_key"), "id", filled(F.col("seed")).alias("seed"), F.array_distinct("nodes").alias("nx"))
+    y = b.select(F.col("key").alias("b_key"), "id", filled(F.col("seed")).alias("seed"), F.array_distinct("nodes").alias("ny"))
     named = x.join(y.select("b_key", "id"), "id").select("a_key", "b_key").unionByName(x.join(y.select("b_key", "seed"), "seed").select("a_key", "b_key"))
-    left, right = x.select("a_key", F.size("nx").alias("m"), F.explode("nx").alias("node")), y.select("b_key", F.size("ny").alias("n"), F.explode("ny").alias("node"))
+    left, right = x.select("a_key", F.explode("nx").alias("token")), y.select("b_key", F.explode("ny").alias("token"))
+    spread = left.select("token").unionByName(right.select("token")).groupBy("token").agg(F.count("*").alias("held"))
+    heads = _heads(left, "a_key", spread, least).join(_heads(right, "b_key", spread, least).withColumnRenamed("n", "m"), "token")
     fits = F.least("m", "n") >= F.greatest("m", "n") * F.lit(least) - F.lit(1e-9)
-    shared = left.join(right, "node").where(fits).groupBy("a_key", "b_key", "m", "n").agg(F.count("*").alias("c"))
-    return named.unionByName(shared.where(F.col("c") / (F.col("m") + F.col("n") - F.col("c")) >= least).select("a_key", "b_key")).distinct()
+    pairs = heads.where(fits).select("a_key", "b_key").distinct()
+    both = pairs.join(x.select("a_key", "nx"), "a_key").join(y.select("b_key", "ny"), "b_key")
+    return named.unionByName(both.where(jaccard(F.col("nx"), F.col("ny")) >= least).select("a_key", "b_key")).distinct()
+
+
+def _heads(sets: DataFrame, key: str, spread: DataFrame, least: float) -> DataFrame:
+    """(key, token, n): the rarest tokens of each set (key, token) that a set of Jaccard `least` must share one of."""
+    at = F.row_number().over(W.partitionBy(key).orderBy("held", "token"))
+    placed = sets.join(spread, "token").select(key, "token", at.alias("at"), F.count("*").over(W.partitionBy(key)).alias("n"))
+    return placed.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)) + 1).select(key, "token", "n")
 
 
 def apply_user_flows(flows: DataFrame, user: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
@@ -133,9 +144,7 @@ def similar_pairs(sets: DataFrame, least: float) -> DataFrame:
     their first size - ceil(least * size) + 1 tokens. Frequent tokens are thus never paired.
     """
     spread = sets.groupBy("token").agg(F.count("*").alias("held"))
-    by = W.partitionBy("id").orderBy("held", "token")
-    placed = sets.join(spread, "token").select("id", "token", F.row_number().over(by).alias("at"), F.count("*").over(W.partitionBy("id")).alias("n"))
-    head = placed.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)) + 1).select("id", "token", "n")
+    head = _heads(sets, "id", spread, least)
     a, b = head.select(F.col("id").alias("a"), "token", F.col("n").alias("na")), head.select(F.col("id").alias("b"), "token", F.col("n").alias("nb"))
     fits = (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(least) - F.lit(1e-9))
     pairs = a.join(b, "token").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
@@ -166,3 +175,12 @@ def without_entries(entries: DataFrame, ids: DataFrame) -> DataFrame:
 def work_counts(classes: DataFrame, flows: DataFrame) -> DataFrame:
     """One row of how many rows need a description and how many flows a review."""
     return classes.agg(F.count_if("stale").alias("stale")).crossJoin(flows.agg(F.count_if("needs_review").alias("needs_review")))
+
+
+#: M4: what a merged model has; groups of layers aren't among it, they come from the layer configuration anew.
+MERGED = ("project", "layers", "edges", "flows")
+
+
+def merged_model(fresh: dict, **merged) -> dict:
+    """M4: the parts of a merged model: of the fresh one what was not merged, without any part that MERGED doesn't name."""
+    return {name: merged.get(name, fresh.get(name)) for name in MERGED if name in merged or name in fresh}

@@ -126,7 +126,7 @@ ORACLES: dict[str, str] = {
       SELECT id, 'public-orchestrator' AS seed_kind FROM lead UNION ALL SELECT id, 'subsystem' FROM best WHERE id NOT IN (SELECT id FROM lead)""",
     "flow_reach": f"""WITH RECURSIVE {G},{HUBS},
       walk AS (
-        SELECT 'c:' || c_custkey AS flow, 'c:' || c_custkey AS id, 0 AS depth FROM (SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 12)
+        SELECT 'c:' || c_custkey AS flow, 'c:' || c_custkey AS id, 0 AS depth FROM customer
         UNION SELECT w.flow, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.id WHERE w.depth < 8 AND (w.id = w.flow OR w.id NOT IN (SELECT id FROM hubs))
       ) SELECT flow, id, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY flow, id""",
     "dispatch_flows": f"""WITH {G},{SCORED},{HUBS},{DISPATCH},
@@ -206,8 +206,8 @@ ORACLES: dict[str, str] = {
       k AS (SELECT a.o AS a, b.o AS b, count(*) AS c FROM i a JOIN i b ON a.p = b.p AND a.o < b.o GROUP BY a.o, b.o)
       SELECT a, b, round(c / (x.n + y.n - c), 6) AS similarity FROM k JOIN s x ON x.o = a JOIN s y ON y.o = b WHERE c / (x.n + y.n - c) >= 0.6""",
     "inv1_duplicates": "SELECT p_type AS layer, p_name AS label, count(*) AS n, min(p_partkey) AS first_id FROM part WHERE p_size > 10 GROUP BY 1, 2 HAVING count(*) > 1",
-    "inv_label_width": """WITH d AS (SELECT doc_id, substr(text, 1, 20) || CASE WHEN doc_id % 9 = 0 THEN '漢字' ELSE '' END AS s FROM documents),
-      u AS (SELECT doc_id, CAST(length(s) + CASE WHEN doc_id % 9 = 0 THEN 2 ELSE 0 END AS BIGINT) AS units FROM d) SELECT doc_id, units, round(units * 7.0::DOUBLE) + 16.0 AS needed FROM u WHERE 150 < round(units * 7.0::DOUBLE) + 16 - 1""",
+    "inv_label_width": """WITH d AS (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 9 = 0 THEN '漢字' ELSE '' END AS s FROM documents),
+      u AS (SELECT doc_id, CAST(length(s) + CASE WHEN doc_id % 9 = 0 THEN 2 ELSE 0 END AS BIGINT) AS units FROM d) SELECT doc_id, units, round(units * 7.0::DOUBLE) + 16.0 AS needed FROM u WHERE 1500 < round(units * 7.0::DOUBLE) + 16 - 1""",
     "inv_bilingual": """SELECT doc_id, CASE WHEN quality = 1 THEN 'missing-en' WHEN toxic = 0 THEN 'missing-zh' ELSE 'missing-both' END AS state FROM labels
       WHERE (quality = 1 AND toxic = 1) OR (quality = 0 AND toxic = 0) OR (quality = 0 AND toxic = 1 AND doc_id % 2 = 0)""",
     "sequence_validate": """WITH c AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations), r AS (SELECT DISTINCT conv_id, role FROM conversations),
@@ -237,7 +237,7 @@ ORACLES: dict[str, str] = {
     "type_function_counts": f"WITH {NODES} SELECT layer, count(*) FILTER (kind = 'class') AS types, count(*) FILTER (kind <> 'class') AS functions FROM nodes GROUP BY layer",
     "structure_json": "SELECT p_type AS layer, sha256('[' || string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) || ']') AS digest FROM part GROUP BY p_type",
     "kind_rollup": f"WITH {NODES} SELECT left(id, 1) AS language, layer, kind, count(*) AS n FROM nodes GROUP BY ROLLUP (left(id, 1), layer, kind)",
-    "mermaid_text": """WITH c AS (SELECT conv_id, turn, role, regexp_replace(replace(substr(text, 1, 30), '"', '#quot;'), '[\\r\\n]+', ' ', 'g') AS label, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+    "mermaid_text": """WITH c AS (SELECT conv_id, turn, role, regexp_replace(replace(coalesce(text, ''), '"', '#quot;'), '[\\r\\n]+', ' ', 'g') AS label, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
       p AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY min(turn)) - 1 AS a FROM conversations GROUP BY conv_id, role),
       h AS (SELECT conv_id, string_agg('  participant a' || a || ' as ' || role, chr(10) ORDER BY a) AS t FROM p GROUP BY conv_id),
       s AS (SELECT c.conv_id, string_agg('  a' || x.a || '->>a' || y.a || ': ' || i || '. ' || replace(label, ';', '،'), chr(10) ORDER BY i) AS t FROM c JOIN p x ON x.conv_id = c.conv_id AND x.role = c.role JOIN p y ON y.conv_id = c.conv_id AND y.role = coalesce(c.nxt, c.role) GROUP BY c.conv_id)

@@ -62,10 +62,10 @@ def flow_seeds(spark: S, d: str) -> D:
 
 
 def flow_reach(spark: S, d: str) -> D:
-    """What the twelve lowest customers reach over edges of either kind."""
+    """What every customer reaches over edges of either kind."""
     edges = saved(adapter.graph_edges(spark, d))
     hub = saved(graph.hubs(saved(graph.degrees(adapter.graph_nodes(spark, d), edges))).select("id"))
-    seeds = table(spark, d, "customer").orderBy("c_custkey").limit(12).select(tagged("c", "c_custkey").alias("id"))
+    seeds = table(spark, d, "customer").select(tagged("c", "c_custkey").alias("id"))
     return flows.reach(seeds, edges, hub, DEFAULT.max_depth)
 
 
@@ -304,7 +304,7 @@ def inv1_duplicates(spark: S, d: str) -> D:
 
 
 def inv_label_width(spark: S, d: str) -> D:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.substring("text", 1, 20), F.when(F.col("doc_id") % 9 == 0, "漢字").otherwise("")).alias("label"), F.lit(150.0).alias("width"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 9 == 0, "漢字").otherwise("")).alias("label"), F.lit(1500.0).alias("width"))
     return quality.narrow_boxes(docs, 7.0, 8.0).select(F.col("id").alias("doc_id"), display_units(F.col("label")).cast("long").alias("units"), "needed")
 
 
@@ -348,7 +348,7 @@ def file_walk_dedup(spark: S, d: str) -> D:
     from archloom.sources.files import pruned
 
     paths = adapter.page_paths(spark, d).select("page_id", F.concat(F.when(F.col("page_id") % 5 == 0, "build/").otherwise(""), "path").alias("path"), F.col("path").alias("realpath"))
-    kept = pruned(paths, spark.createDataFrame([("de",)], "name string"), spark.createDataFrame([("",)], "dir string"))
+    kept = pruned(paths, spark.createDataFrame([("de",), ("build",)], "name string"), spark.createDataFrame([("",)], "dir string"))
     return layers.latest_per(kept, ["realpath"], ["page_id"]).select("page_id", "path")
 
 
@@ -385,7 +385,7 @@ def kind_rollup(spark: S, d: str) -> D:
 def mermaid_text(spark: S, d: str) -> D:
     """Conversations as sequence diagrams, in text."""
     c = table(spark, d, "conversations")
-    return mermaid.sequences(c.select(F.col("conv_id").alias("diagram"), F.col("turn").alias("pos"), F.col("role").alias("src"), F.substring("text", 1, 30).alias("label"))).withColumnRenamed("diagram", "conv_id")
+    return mermaid.sequences(c.select(F.col("conv_id").alias("diagram"), F.col("turn").alias("pos"), F.col("role").alias("src"), F.col("text").alias("label"))).withColumnRenamed("diagram", "conv_id")
 
 
 QUERIES = {

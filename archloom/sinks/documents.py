@@ -30,3 +30,12 @@ def write_lines(df: DataFrame, path: str) -> None:
 def stable_json(value) -> str:
     """K5: keys sorted, two spaces, a line feed at the end."""
     return json.dumps(value, sort_keys=True, indent=2, ensure_ascii=False) + "\n"
+
+
+def canonical(edges: DataFrame, classes: DataFrame, flows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables in an order that doesn't depend on how they came about: edges (src, dst, kind) by src, kind and dst,
+    classes by layer and id, else name, with sorted tags and supertypes, flows (flow, node and more) by flow and node."""
+    inner = [c for c in ("tags", "supertypes") if c in classes.columns]
+    for c in inner:
+        classes = classes.withColumn(c, F.array_sort(c))
+    return edges.orderBy("src", "kind", "dst"), classes.orderBy("layer", F.coalesce(*[F.col(c) for c in ("id", "name") if c in classes.columns])), flows.orderBy("flow", "node")

@@ -57,8 +57,8 @@ def pick(row: dict, base: str, language: str) -> str:
     return row.get(f"{base}_{language}") or row.get(f"{base}_{other}") or row.get(base) or ""
 
 
-def compile_diagram(diagram: dict, labels: dict[str, str], language: str = "en") -> tuple[str, dict[str, str]]:
-    """One diagram (as in the model) to text, and which declaration each short name stands for."""
+def compile_diagram(diagram: dict, labels: dict[str, str], language: str = "en", callback: str = "flowClick") -> tuple[str, dict[str, str]]:
+    """One diagram (as in the model) to text, and which declaration each short name stands for. A click calls `callback`."""
     if diagram.get("type") == "sequence":
         return _sequence(diagram, language)
     name, shown, lines, clicks = _Names("n"), {}, ["flowchart LR"], []
@@ -69,7 +69,7 @@ def compile_diagram(diagram: dict, labels: dict[str, str], language: str = "en")
             own = name(node)
             lines.append(f'    {own}["{_plain(labels.get(node, node))}"]')
             shown[own] = node
-            clicks.append(f'  click {own} call cmFlowClick("{_plain(node)}")')
+            clicks.append(f'  click {own} call {callback}("{_plain(node)}")')
         lines.append("  end")
     for extra in diagram.get("extra_nodes") or []:
         left, right = ('(["', '"])') if extra.get("kind") == "actor" else ('[/"', '"/]')

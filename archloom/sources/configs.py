@@ -11,12 +11,17 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from archloom.config import UNCATEGORIZED
+from archloom.config import REST_LAYER, SKIP_DIRS, UNCATEGORIZED
 from archloom.operators.layers import glob_pattern
 
-#: Manifest names and patterns that are read for dependencies, down to two folders.
-MANIFESTS = ("package.json", "pyproject.toml", "requirements.txt", "setup.py", "go.mod", "Cargo.toml", "pom.xml", "build.gradle", "build.gradle.kts", "Gemfile", "composer.json", "pubspec.yaml", "Package.swift")
-MANIFEST_GLOBS = ("*.csproj", "*.gradle", "*.podspec", "*.gemspec", "requirements*.txt")
+#: Manifests of the root that are read for dependencies, and patterns of more in it and the folders below.
+MANIFESTS = (
+    "package.json", "go.mod", "Cargo.toml", "pyproject.toml",
+    "requirements.txt", "requirements-dev.txt",
+    "build.gradle", "build.gradle.kts", "app/build.gradle", "app/build.gradle.kts",
+    "pom.xml", "Gemfile", "composer.json",
+)
+MANIFEST_GLOBS = ("*.csproj", "*.vcxproj", "Package.swift", "pubspec.yaml", "CMakeLists.txt")
 
 
 def load_yaml(text: str):
@@ -60,7 +65,7 @@ def layer_rules(layers: list[dict]) -> tuple[list[tuple[str, int, str]], list[tu
 
 
 def resolve_layers(root: str, detected: list[dict] | None, default: list[dict]) -> tuple[list[dict], str]:
-    """L1: layers of architecture.yml or .json, else of the detected template, else the default; and where from."""
+    """L1: layers of architecture.yml or .json in a folder, else of the detected template, else the default; and where from."""
     for name in ("architecture.yml", "architecture.json"):
         path = Path(root) / name
         try:
@@ -74,17 +79,18 @@ def resolve_layers(root: str, detected: list[dict] | None, default: list[dict])
 
 
 def with_rest(layers: list[dict]) -> list[dict]:
-    return layers if any(x.get("id") == UNCATEGORIZED for x in layers) else [*layers, {"id": UNCATEGORIZED, "name": "Uncategorized", "order": 99, "path_segments": [], "name_suffixes": []}]
+    return layers if any(x.get("id") == UNCATEGORIZED for x in layers) else [*layers, REST_LAYER]
 
 
 def manifest_text(root: str) -> str:
-    """The manifests of a root and its folders in one text."""
-    patterns = [re.compile(glob_pattern(g)) for g in MANIFEST_GLOBS]
-    found = []
-    for folder in [Path(root), *sorted(p for p in Path(root).iterdir() if p.is_dir() and not p.name.startswith("."))]:
-        for path in sorted(p for p in folder.iterdir() if p.is_file()):
-            if path.name in MANIFESTS or any(p.match(path.name) for p in patterns):
-                found.append(path.read_text(encoding="utf-8", errors="replace"))
+    """The manifests of a root in one text: the named ones, then those of the patterns there and in its folders."""
+    base = Path(root)
+    below = sorted(p for p in base.iterdir() if p.is_dir() and p.name not in SKIP_DIRS)
+    paths = [base / name for name in MANIFESTS]
+    for glob in MANIFEST_GLOBS:
+        pattern = re.compile(glob_pattern(glob))
+        paths += [p for folder in (base, *below) for p in sorted(folder.iterdir()) if pattern.match(p.name)]
+    found = [p.read_text(encoding="utf-8", errors="replace") for p in dict.fromkeys(paths) if p.is_file()]
     return "\n".join(found)
 
 

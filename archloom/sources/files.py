@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archloom.config import BUILD_MANIFESTS, OUTPUT_DIRS, SKIP_DIRS
+from archloom.config import BUILD_MANIFESTS, OTHER_LANGUAGES, OUTPUT_DIRS, SKIP_DIRS, STATE_DIR
 from archloom.operators.layers import directory_closure, latest_per
 from archloom.operators.merge import last_wins
 
@@ -27,11 +28,12 @@ def extension(path):
 def pruned(paths: DataFrame, skip: DataFrame, manifest_dirs: DataFrame) -> DataFrame:
     """Rows (path) without a skipped folder above them. skip: name; manifest_dirs: dir with a build manifest.
 
-    An output folder (build, out, dist, target) is only skipped where its parent has a manifest.
+    An output folder (build, out, dist, target) that is to be skipped only is where its parent has a manifest.
     """
     dirs = directory_closure(paths.select("path")).select("dir", F.element_at(F.split("dir", "/"), -1).alias("name"), F.regexp_replace("dir", "(^|/)[^/]*$", "").alias("parent"))
+    dirs = dirs.join(F.broadcast(skip.select("name")), "name", "left_semi")
     outputs = F.col("name").isin(*OUTPUT_DIRS)
-    skipped = dirs.where(~outputs).join(F.broadcast(skip.select("name")), "name", "left_semi").select("dir")
+    skipped = dirs.where(~outputs).select("dir")
     built = dirs.where(outputs).join(manifest_dirs.select(F.col("dir").alias("parent")), "parent", "left_semi").select("dir")
     gone = skipped.union(built).distinct()
     above = paths.select("path").distinct().select("path", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split("path", "/")) - 1, F.lit(1))), lambda k: F.array_join(F.slice(F.split("path", "/"), 1, k), "/"))).alias("dir"))
@@ -96,6 +98,46 @@ def latest_change(contents: DataFrame) -> DataFrame:
     return contents.agg(F.max("modificationTime").alias("modificationTime"))
 
 
+#: Tables of an extract and what stands for one that isn't there.
+MODEL = {
+    "declarations": "id string, name string, namespace string, path string, line int, kind string, language string, visibility string, supertypes array<string>, refs array<string>, confidence string",
+    "edges": "src string, dst string, kind string",
+    "resolution": "src string, raw string, dst string, via string, reason string",
+    "skipped": "path string, line int, reason string",
+    "advisories": "kind string, dir string, declarations long, foreign long, foreign_pct double, dominant_foreign string, language string, files long",
+    "namespaces": "namespace string, n long",
+    "template_scores": "template string, score long",
+}
+
+
 def read_model(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
-    """Tables of a model as write_tables left them."""
-    return {name: spark.read.parquet(f"{folder}/{name}") for name in names}
+    """Tables of a model as write_tables left them; one of MODEL that was not written is empty."""
+    out = {}
+    for name in names or MODEL:
+        try:
+            out[name] = spark.read.parquet(f"{folder}/{name}")
+        except AnalysisException:
+            if name not in MODEL:
+                raise
+            out[name] = spark.createDataFrame([], MODEL[name])
+    return out
+
+
+def unread_languages(spark: SparkSession) -> DataFrame:
+    """(ext, language) of known languages without a reader."""
+    return spark.createDataFrame(list(OTHER_LANGUAGES.items()), "ext string, language string")
+
+
+def skip_lines(root: str) -> list[str]:
+    """The lines of a project's own skip list; none if it has none."""
+    try:
+        with open(os.path.join(root, STATE_DIR, "skip-dirs.txt"), encoding="utf-8") as f:
+            return f.read().split("\n")
+    except OSError:
+        return []
+
+
+def manifest_rows(root_files: DataFrame, contents: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """(path, text) of manifests of the given names in the root and the folders of a pruned listing (path)."""
+    name, depth = F.element_at(F.split("path", "/"), -1), F.size(F.split("path", "/"))
+    return root_files.where(name.isin(*names) & (depth <= 2)).select("path").join(contents.select("path", F.col("content").alias("text")), "path")

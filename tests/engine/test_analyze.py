@@ -24,3 +24,40 @@ def test_a_small_project_end_to_end(spark, tmp_path):
     assert {(r.key, r.impl) for r in got["dispatch"].collect()} == {("Base", "order.OrderService"), ("Base", "order.OtherService")}
     assert {r.reason for r in got["skipped"].collect()} == {"exception: SyntaxError"}
     assert {r.language: r.n for r in got["languages"].collect()} == {"python": 3, "typescript": 3}
+    assert got["detection"].first().asDict() == {"chosen": "clean-architecture", "origin": "default", "reason": "no-plugin-root"}
+    flow = [(r.src_order, r.flow, r.seed_kind) for r in got["flow_list"].orderBy("src_order", "ord").collect()]
+    assert ("flow:app.main", "entry-point") in [f[1:] for f in flow] and flow == sorted(flow, key=lambda f: f[0])
+    assert got["advisories"].count() == 0
+
+
+TEMPLATE = "id: {id}\nlayers:\n  - id: {layer}\n    path_segments: [{segment}]\nsignals:\n  dependencies: [{{match: '{dependency}', weight: 3}}]\n  paths: [{{match: {segment}, weight: 1}}]\n"
+
+
+def test_templates_and_advisories_of_a_tree(spark, tmp_path):
+    root, templates = tmp_path / "p", tmp_path / "templates"
+    templates.mkdir()
+    (templates / "one.yml").write_text(TEMPLATE.format(id="one", layer="screens", segment="ui", dependency="compose"))
+    (templates / "two.yml").write_text(TEMPLATE.format(id="two", layer="systems", segment="ecs", dependency="bevy"))
+    code = {
+        "build.gradle": 'android { namespace = "com.own.app" }\nimplementation "compose"\n',
+        "ui/Home.kt": "package com.own.app\nclass Home {\n}\n",
+        "own/main.py": "def main():\n    pass\n",
+        "skipped/x.py": "class Hidden: pass\n",
+        ".archloom/skip-dirs.txt": "# ours\nskipped  # not code\n-demo\n",
+        "demo/d.py": "class Shown: pass\n",
+        **{f"big/F{i}.kt": f"package org.other.lib\nclass F{i} {{\n}}\n" for i in range(55)},
+        **{f"scripts/s{i}.sh": "" for i in range(60)},
+    }
+    for path, text in code.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text(text)
+    got = analyze(spark, str(root), templates=str(templates))
+    assert {r.template: r.score for r in got["template_scores"].collect()} == {"one": 4, "two": 0}
+    assert got["detection"].first().asDict() == {"chosen": "one", "origin": "template", "reason": None}
+    classes = {r.name: r.layer for r in got["classes"].collect()}
+    assert classes["Home"] == "screens" and "Shown" in classes and "Hidden" not in classes
+    kinds = [(r.kind, r.dir, r.declarations, r.dominant_foreign, r.language, r.files) for r in got["advisories"].collect()]
+    assert kinds == [("vendored-dir", "big", 55, "org.other", None, None), ("unsupported-dominant-language", None, None, None, "shell", 60)]
+    (root / ".archloom" / "architecture.yml").write_text("layers:\n  - id: all\n    path_segments: [ui, big]\n")
+    again = analyze(spark, str(root), templates=str(templates))
+    assert again["detection"].first().origin == "architecture.yml" and {r.name: r.layer for r in again["classes"].collect()}["Home"] == "all"

@@ -1,10 +1,11 @@
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from archloom.operators import advisories, merge, quality
+from archloom.operators import advisories, layers, merge, quality
 from archloom.sinks import documents, mermaid
 from archloom.sources import configs, files
 from archloom.sources.parse import declarations, low_confidence, normalised, parse_files, resolved_typescript, skipped
@@ -104,7 +105,7 @@ def test_diagrams(spark):
 def test_mermaid():
     pipe = {"type": "pipeline", "stages": [{"id": "s1", "name_zh": "甲", "name_en": 'In "x"', "nodes": ["m.A<T>", "m.B"]}, {"id": "s2", "name_en": "Out", "nodes": ["m.C"]}], "extra_nodes": [{"id": "x:f", "kind": "artifact", "name": "F"}, {"id": "x:u", "kind": "actor", "name": "U"}], "links": [{"from": "s1", "to": "s2", "kind": "control", "label_en": "go"}, {"from": "x:u", "to": "m.B", "label_en": "in"}]}
     text, shown = mermaid.compile_diagram(pipe, {"m.A<T>": "A", "m.C": "C"})
-    assert text.split("\n") == ["flowchart LR", '  subgraph n0["In #quot;x#quot;"]', '    n1["A"]', '    n2["m.B"]', "  end", '  subgraph n3["Out"]', '    n4["C"]', "  end", '  n5[/"F"/]', '  n6(["U"])', '  n1 -.->|"go"| n4', '  n6 -->|"in"| n2', '  click n1 call cmFlowClick("m.A<T>")', '  click n2 call cmFlowClick("m.B")', '  click n4 call cmFlowClick("m.C")']
+    assert text.split("\n") == ["flowchart LR", '  subgraph n0["In #quot;x#quot;"]', '    n1["A"]', '    n2["m.B"]', "  end", '  subgraph n3["Out"]', '    n4["C"]', "  end", '  n5[/"F"/]', '  n6(["U"])', '  n1 -.->|"go"| n4', '  n6 -->|"in"| n2', '  click n1 call flowClick("m.A<T>")', '  click n2 call flowClick("m.B")', '  click n4 call flowClick("m.C")']
     assert shown == {"n1": "m.A<T>", "n2": "m.B", "n4": "m.C"}
     seq = {"type": "sequence", "participants": [{"id": "p:u", "kind": "actor", "name_en": "User"}, {"id": "p:a", "name_zh": "甲", "nodes": ["m.A"]}], "steps": [{"from": "p:u", "to": "p:a", "label_en": "a;\nb"}, {"from": "p:a", "to": "p:u", "kind": "return", "label_en": "ok"}]}
     assert mermaid.compile_diagram(seq, {})[0].split("\n") == ["sequenceDiagram", "  actor a0 as User", "  participant a1 as 甲", "  a0->>a1: 1. a، b", "  a1-->>a0: 2. ok"]
@@ -135,15 +136,86 @@ def test_configs_and_documents(spark, tmp_path):
     assert files.read_model(spark, str(tmp_path / "out"), "classes")["classes"].count() == 2 and documents.stable_json({"b": 1, "a": 2}).startswith('{\n  "a"')
 
 
-def test_streaming_ingest(spark, tmp_path):
-    src, out, mark = (str(tmp_path / x) for x in ("src", "out", "mark"))
-    os.makedirs(src)
-    open(f"{src}/a.py", "w").write("class A: pass\n")
-    ingest.ingest(spark, src, out, mark).awaitTermination(60)
-    assert {r.id for r in ingest.current(spark, out).select(F.element_at(F.split("id", r"\."), -1).alias("id")).collect()} == {"A"}
-    open(f"{src}/b.py", "w").write("class B: pass\ndef f(): pass\n")
-    ingest.ingest(spark, src, out, mark).awaitTermination(60)
-    assert {r.name for r in ingest.current(spark, out).collect()} == {"A", "B", "f"}
+def test_passes_follow_the_tree(spark, tmp_path):
+    src, out = tmp_path / "src", str(tmp_path / "out")
+    src.mkdir()
+    names = lambda: sorted(r.name for r in ingest.current(spark, out).collect())
+    refresh = lambda: ingest.refresh(spark, str(src), out)
+    (src / "a.py").write_text("class A: pass\n")
+    (src / "notes.txt").write_text("class X: pass\n")
+    assert refresh() == 1 and names() == ["A"] and refresh() == 0
+    (src / "b.py").write_text("class B: pass\ndef f(): pass\n")
+    assert refresh() == 1 and names() == ["A", "B", "f"]
+    (src / "a.py").write_text("class C: pass\nclass D: pass\n")  # rewritten
+    assert refresh() == 1 and names() == ["B", "C", "D", "f"]
+    (src / "a.py").write_text("")  # emptied: nothing is declared any more
+    assert refresh() == 1 and names() == ["B", "f"]
+    (src / "b.py").unlink()
+    assert refresh() == 1 and names() == [] and refresh() == 0
+    (src / "b.py").write_text("class B: pass\n")  # and back again
+    assert refresh() == 1 and names() == ["B"]
+
+
+def test_a_stream_follows_the_tree(spark, tmp_path):
+    src, out = tmp_path / "src", str(tmp_path / "out")
+    src.mkdir()
+    (src / "a.py").write_text("class A: pass\n")
+    query = ingest.follow(spark, str(src), out, str(tmp_path / "mark"), "500 milliseconds")
+    try:
+        for text, want in (("class A: pass\n", ["A"]), ("class Other: pass\n", ["Other"])):
+            (src / "a.py").write_text(text)
+            end = time.time() + 60
+            while time.time() < end and [r.name for r in ingest.current(spark, out).collect()] != want:
+                time.sleep(0.5)
+            assert [r.name for r in ingest.current(spark, out).collect()] == want
+    finally:
+        query.stop()
+
+
+def test_waiting_and_reading_anew(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    path = tmp_path / "d" / "rows.json"
+    path.write_text('{"a": 1}\n')
+    now = ingest.latest_change(spark, str(tmp_path / "d"))
+    assert ingest.wait_for_change(spark, str(tmp_path / "d"), 0) == {"changed": False, "mtime": now}
+    assert ingest.wait_for_change(spark, str(tmp_path / "d"), now, 0.3, 0.1) == {"changed": False, "mtime": now}
+    read = ingest.reader(spark, str(path))
+    assert [r.a for r in read().collect()] == [1]
+    path.write_text('{"a": 2}\n{"a": 3}\n')
+    os.utime(path, (now + 5, now + 5))
+    assert ingest.wait_for_change(spark, str(tmp_path / "d"), now, 5)["changed"]
+    assert [r.a for r in read().collect()] == [2, 3]
+
+
+def test_orders_and_parts_of_a_model(spark):
+    edges = spark.createDataFrame([("b", "a", "uses"), ("a", "b", "uses"), ("a", "c", "extends")], "src string, dst string, kind string")
+    classes = spark.createDataFrame([("y", "L", ["q", "p"], 0.5), ("x", "L", [], 0.5), ("z", "L", [], 0.9)], "id string, layer string, tags array<string>, importance double")
+    flow = spark.createDataFrame([("f", "n2"), ("f", "n1")], "flow string, node string")
+    e, c, f = documents.canonical(edges, classes, flow)
+    assert [tuple(r) for r in e.collect()] == [("a", "c", "extends"), ("a", "b", "uses"), ("b", "a", "uses")]
+    assert [(r.id, r.tags) for r in c.collect()] == [("x", []), ("y", ["p", "q"]), ("z", [])] and [r.node for r in f.collect()] == ["n1", "n2"]
+    assert {r.id: r.ord for r in layers.by_importance(classes).collect()} == {"z": 1, "x": 2, "y": 3}
+    assert merge.merged_model({"layers": [1], "edges": [], "layer_groups": [2]}, flows=[3]) == {"layers": [1], "edges": [], "flows": [3]}
+    boxes = spark.createDataFrame([("L", 1, "a", 60.0), ("L", 2, "b", 60.0), ("L", 3, "c", 30.0)], "layer string, ord int, id string, w double")
+    sizes = layers.Sizes(node_height=10, gap_x=5, gap_y=2, pad_x=8, pad_top=20, pad_bottom=4, band_gap=6)
+    bands, nodes = layers.bands(spark.createDataFrame([("L", 0), ("M", 1)], "id string, ord int"), boxes, 120, sizes)
+    assert {r.id: (r.y, r.height) for r in bands.collect()} == {"L": (0.0, 46.0), "M": (52.0, 24.0)}
+    assert {r.id: (r.x, r.y) for r in nodes.collect()} == {"a": (8.0, 20.0), "b": (8.0, 32.0), "c": (73.0, 32.0)}
+
+
+def test_default_lists():
+    from archloom import config
+
+    assert len(config.SKIP_DIRS) == 61 and {"third_party", "Carthage", "commonTest", "jvmTest", "androidTest", "assets", "mock", "demo", ".mypy_cache", "build"} <= set(config.SKIP_DIRS) and "docs" not in config.SKIP_DIRS
+    assert {"settings.gradle", "build.xml", "setup.cfg", "build.sbt", "BUILD"} <= set(config.BUILD_MANIFESTS) and not {"go.mod", "Package.swift"} & set(config.BUILD_MANIFESTS)
+    segments = {x["id"]: x["path_segments"] for x in config.DEFAULT_LAYERS}
+    assert {"handlers", "endpoints"} <= set(segments["presentation"]) and "logic" in segments["domain"] and {"persistence", "remote"} <= set(segments["data"]) and {"lib", "net", "cmd"} <= set(segments["infrastructure"])
+
+
+def test_a_model_without_some_tables(spark, tmp_path):
+    documents.write_tables(str(tmp_path), edges=spark.createDataFrame([("a", "b", "uses")], files.MODEL["edges"]))
+    got = files.read_model(spark, str(tmp_path))
+    assert set(got) == set(files.MODEL) and got["edges"].count() == 1 and got["skipped"].count() == 0
 
 
 @pytest.mark.parametrize("glob, yes, no", [("*.csproj", "a.csproj", "a.csproj.x"), ("req?.txt", "req1.txt", "req.txt"), ("*", "a", ".hidden"), (".*", ".hidden", "a")])
