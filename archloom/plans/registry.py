@@ -1,6 +1,6 @@
 """All queries of the graph engine by name, with the SQL that checks them."""
 
-from archloom.plans.oracles import ORACLES
-from archloom.plans.queries import QUERIES
+from archloom.plans import more_queries, oracles, queries
 
-__all__ = ["ORACLES", "QUERIES"]
+QUERIES = queries.QUERIES | more_queries.QUERIES
+ORACLES = oracles.ORACLES | more_queries.ORACLES

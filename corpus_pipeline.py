@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from archloom.llm.common import materialise, table
 from archloom.llm.decontamination import without_contaminated
 from archloom.llm.line_dedup import line_dedup
-from archloom.llm.near_dedup import near_dedup
+from archloom.llm.near_dedup import NearRules, near_dedup
 from archloom.llm.quality_rules import quality_rules
 from archloom.llm.queries import PIECES
 from archloom.llm.segmentation import encode_texts
 
+#: Near copies share 80 of 100 five-word shingles or more; 38 bands of 5 minima miss such a pair with probability 3e-7.
+NEAR = NearRules(min_pct=80, bands=38, rows=5)
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Exact shingle-set components and A* segmentations are beyond SQL; the rows are tested against brute force instead.
 ORACLE_SQL: str | None = None
@@ -36,17 +38,19 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least id stays. Rows without id stay as they are.
 
-    Rows of one id with different texts are documents of their own; of rows with the same id and text one stays.
+    Rows of one id with different texts are documents of their own; of rows with the same id and text the first stays, by
+    its columns as JSON.
     """
     named = docs.where(F.col("doc_id").isNotNull())
     if named.groupBy("doc_id").count().where(F.col("count") > 1).limit(1).count():
-        once = named.dropDuplicates(["doc_id", "text"]).select("doc_id", "text", F.struct("*").alias("row"))
-        ordered = once.orderBy("doc_id", F.sha2("text", 256))
+        rows = named.select("doc_id", F.struct("*").alias("row"), F.sha2("text", 256).alias("name"))
+        once = rows.groupBy("doc_id", "name").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        ordered = once.select("doc_id", F.col("row.text").alias("text"), "row", "name").orderBy("doc_id", "name")
         numbered = materialise(ordered.select(F.monotonically_increasing_id().alias("number"), "text", "row"))  # in the order of the ids
-        kept = near_dedup(numbered, "number").where("kept").select("number")
+        kept = near_dedup(numbered, "number", rules=NEAR).where("kept").select("number")
         chosen = numbered.join(kept, "number", "left_semi").select("row.*")
     else:
-        kept = near_dedup(docs).where("kept").select("doc_id").distinct()
+        kept = near_dedup(docs, rules=NEAR).where("kept").select("doc_id").distinct()
         chosen = named.join(kept, "doc_id", "left_semi")
     return chosen.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
