@@ -72,15 +72,16 @@ WITH {WORDS},
 grams AS (SELECT doc_id, i, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w, w2, w3) AS c FROM grams WHERE w3 IS NOT NULL) WHERE c > 1),
 repeated AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM twice, (VALUES (0), (1), (2)) AS t(o) GROUP BY doc_id),
-split AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
-plain AS (SELECT doc_id, line, trim(regexp_replace(line, '[ \\t\\x0b\\x0c\\r]+', ' ', 'g'), ' ') AS p FROM split),
+split AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+plain AS (SELECT doc_id, i, line, trim(regexp_replace(line, '[ \\t\\x0b\\x0c\\r]+', ' ', 'g'), ' ') AS p FROM split),
 sized AS (SELECT *, lower(p) AS low, CASE WHEN p = '' THEN 0 ELSE length(p) - length(replace(p, ' ', '')) + 1 END AS n FROM plain),
-judged AS (
-  SELECT doc_id, line, n, length(replace(p, ' ', '')) AS chars, n > 0 AND (
+marked AS (
+  SELECT doc_id, i, line, n, length(replace(p, ' ', '')) AS chars, n > 0 AND (
     len(regexp_extract_all(p, '[#*$%&<>]{{2,}}|[!?]{{2,}}')) * 5 >= n OR (n >= 3 AND len(regexp_extract_all(p, '(^| )[|>»·•]( |$)')) * 4 >= n)
-    OR (n <= 40 AND ({" OR ".join(f"contains(low, '{b}')" for b in BOILERPLATE)})) OR (n < 4 AND NOT regexp_matches(p, '[[:punct:]…”»。]$'))
-  ) AS bad FROM sized
+    OR (n <= 40 AND ({" OR ".join(f"contains(low, '{b.replace("'", "''")}')" for b in BOILERPLATE)}))
+  ) AS bad, n > 0 AND n < 4 AND NOT regexp_matches(p, '[[:punct:]…”»。]$') AS short FROM sized
 ),
+judged AS (SELECT doc_id, line, n, chars, bad OR (short AND (lag(short, 1, false) OVER o OR lead(short, 1, false) OVER o)) AS bad FROM marked WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 lines AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (bad) AS n_failed_lines, coalesce(sum(chars) FILTER (bad), 0) AS lost_chars, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines FROM judged GROUP BY doc_id),
 base AS (
   SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS BIGINT) AS n_symbols,

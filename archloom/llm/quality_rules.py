@@ -18,11 +18,14 @@ from pyspark.sql import functions as F
 from archloom.llm.common import SPACE
 
 SYMBOLS = "#*$%&|<>"
-#: Phrases of page furniture, compared in lower case.
+#: Phrases of page furniture in four languages, compared in lower case.
 BOILERPLATE = (
     "all rights reserved", "privacy policy", "terms of use", "terms of service", "terms and conditions", "cookie policy", "use cookies",
     "enable javascript", "javascript is disabled", "click here", "subscribe to our", "sign up for", "log in to", "share this",
     "read more", "back to top", "skip to content", "lorem ipsum", "powered by", "copyright (c)", "©",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "utilise des cookies", "cliquez ici", "lire la suite", "retour en haut", "abonnez-vous à",
+    "todos los derechos reservados", "política de privacidad", "términos y condiciones", "utiliza cookies", "haga clic aquí", "leer más", "volver arriba", "suscríbete a",
+    "alle rechte vorbehalten", "datenschutzerklärung", "geschäftsbedingungen", "verwendet cookies", "hier klicken", "weiterlesen", "zum seitenanfang", "newsletter abonnieren",
 )
 
 
@@ -35,7 +38,7 @@ class LineRules:
     noise_every: int = 5
     #: column marks standing alone at one word in this many make a line navigation
     navigation_every: int = 4
-    #: a line this short needs an end mark or a comma, colon or semicolon at its end
+    #: lines this short without a mark at their end are a menu where two or more follow each other; a single one is a heading
     short_line_words: int = 4
     #: a longer line may hold a phrase of page furniture in passing
     boilerplate_words: int = 40
@@ -73,16 +76,17 @@ def repeated_words(ws: Column) -> Column:
     return F.when(F.size(ws) < 4, F.lit(0)).otherwise(let(F.sort_array(grams), twice))
 
 
-def line_fails(line: Column, rules: LineRules) -> Column:
-    """A line with words that is noise, navigation or boilerplate. Blank lines never fail."""
+def line_fails(line: Column, furnished: Column, rules: LineRules) -> Column:
+    """(bad, short): whether a line with words is noise, navigation or boilerplate; whether it may be part of a menu.
+    Blank lines are neither. furnished: whether the text has any phrase of page furniture."""
 
     def judged(x: Column) -> Column:
         plain, low, n = x["plain"], x["low"], x["n"]
         noise = F.regexp_count(plain, F.lit(r"[#*$%&<>]{2,}|[!?]{2,}")) * rules.noise_every >= n
         navigation = (n >= 3) & (F.regexp_count(plain, F.lit(r"(^| )[|>»·•]( |$)")) * rules.navigation_every >= n)
-        furniture = reduce(or_, (low.contains(phrase) for phrase in BOILERPLATE)) & (n <= rules.boilerplate_words)
-        no_end = (n < rules.short_line_words) & ~plain.rlike("[\\p{Punct}…”»。]$")
-        return (n > 0) & (noise | navigation | furniture | no_end)
+        furniture = F.when(furnished & (n <= rules.boilerplate_words), reduce(or_, (low.contains(phrase) for phrase in BOILERPLATE))).otherwise(F.lit(False))
+        short = (n > 0) & (n < rules.short_line_words) & ~plain.rlike("[\\p{Punct}…”»。]$")
+        return F.struct(((n > 0) & (noise | navigation | furniture)).alias("bad"), short.alias("short"))
 
     plain = F.trim(F.regexp_replace(line, r"[ \t\x0b\f\r]+", " "))
     spaced = let(plain, lambda p: F.struct(p.alias("plain"), F.lower(p).alias("low"), F.when(p == "", 0).otherwise(count_of(p, " ") + 1).alias("n")))
@@ -93,7 +97,8 @@ def quality_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """One row a document: the counts, the verdict and, with_text, what is left of the text.
 
     Null and empty texts have no words, fail the base rule and are rejected; repeated rows are judged alike, each
-    for itself; an empty table gives an empty result. Further columns of the input are ignored.
+    for itself; a very long text takes a small multiple of its size in its task; an empty table gives an empty result. Further
+    columns of the input are ignored.
     Columns: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_failed_lines, lost_chars,
     base_failed, kept, and clean_text. carry adds `row`, a struct of the input's columns.
     """
@@ -103,8 +108,12 @@ def quality_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     has_word = lambda line: F.length(F.translate(line, SPACE, "")) > 0
     per_words = let(words(F.col("_text")), lambda ws: F.struct(F.size(ws).alias("n"), repeated_words(ws).alias("r")))
 
-    def by_line(lines: Column) -> Column:
-        judged = F.transform(lines, lambda line: F.struct(line.alias("line"), line_fails(line, rules).alias("bad")))
+    def by_line(split: Column) -> Column:
+        lines, furnished = split["lines"], split["furnished"]
+        first = F.transform(lines, lambda line: F.struct(line.alias("line"), line_fails(line, furnished, rules).alias("is")))
+        near = lambda js, i: F.coalesce(F.get(js, i)["is"]["short"], F.lit(False))
+        menus = lambda js: F.transform(js, lambda j, i: F.struct(j["line"].alias("line"), (j["is"]["bad"] | (j["is"]["short"] & (near(js, i - 1) | near(js, i + 1)))).alias("bad")))
+        judged = let(first, menus)
         wordy = F.filter(lines, has_word)
 
         def summed(js: Column) -> Column:
@@ -123,7 +132,7 @@ def quality_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         id_column,
         *carried,
         per_words.alias("w"),
-        let(F.split("_text", "\n"), by_line).alias("l"),
+        let(F.struct(F.split("_text", "\n").alias("lines"), let(F.lower("_text"), lambda low: reduce(or_, (low.contains(phrase) for phrase in BOILERPLATE))).alias("furnished")), by_line).alias("l"),
         F.length(F.translate("_text", SPACE, "")).cast("long").alias("word_chars"),
         count_of(F.col("_text"), SYMBOLS).cast("long").alias("n_symbols"),
     )

@@ -30,8 +30,9 @@ def test_quality_counts(spark):
 
 def test_lines_are_judged_one_by_one(spark):
     prose = "%d0 %d1 %d2 %d3 %d4 quick brown %d5 %d6 lazy dog %d7 %d8 and home, as %d9 before."
-    bad = ["Home | News | Sport | Contact", "BUY!! NOW!! CHEAP!! HERE!!", "Read more", "We use cookies and a privacy policy.", "a### b*** c&&& d$$$"]
-    good = [prose.replace("%d", str(i)) for i in range(8)] + ["", "Short end."]
+    bad = ["Home | News | Sport | Contact", "BUY!! NOW!! CHEAP!! HERE!!", "Read more", "We use cookies and a privacy policy.", "a### b*** c&&& d$$$", "Tous droits réservés 2020", "Hier klicken", "Volver arriba, por favor", "Home", "News and sport", "Contact"]
+    good = [prose.replace("%d", str(i)) for i in range(8)] + ["", "Short end.", "A heading", prose.replace("%d", "9"), "Another one", "", "A third"]
+    good += [""]  # a heading that stands before a menu would be part of it
     docs = spark.createDataFrame([(1, "\n".join(good + bad)), (2, "\n".join(f"{x} | {i} | {i * 7}" for i, x in enumerate(bad * 12))), (3, "\n".join(good))], "doc_id long, text string")
     got = {r.doc_id: r for r in quality_rules(docs, with_text=True).collect()}
     assert got[1].clean_text == "\n".join(good) and got[1].n_failed_lines == len(bad) and got[1].kept
@@ -54,7 +55,7 @@ def test_pipeline_equals_brute_force(spark):
         for k in {key(x) for x in t.split("\n")}:
             held.setdefault(k, set()).add(d)
     docs = [(d, "\n".join(x for x in t.split("\n") if not key(x) or len(held[key(x)]) < 10)) for d, t in docs]
-    near = brute.near_components(docs)
+    near = brute.near_components(docs, 80)
     docs = [(d, t) for d, t in docs if near[d][2]]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
     hit = brute.decontaminated(docs, items)
