@@ -4,23 +4,26 @@ Documents come in batches. A batch's lines are reduced to (128-bit key hash, num
 merge-anti-joined with the saturated run, which holds the keys that already reached the limit, and what is left
 is added as a sorted run of level 0. When a level is full its runs are merged into one run of the next level,
 and keys that reach the limit by the merge move to the saturated run. A last merge of all levels gives the exact
-set of frequent keys. Only hashes are shuffled, counted within each slice before; texts are never shuffled unless
-the frequent set is too large to send to every executor.
+set of frequent keys. Runs are bucketed by their hashes and sorted, so a batch is shuffled once, when it is laid out like them, and
+neither the anti-joins nor the merges shuffle. Runs outlive a call: `state` names them, `restore` takes them up, and a later batch
+is added to them. Texts are never shuffled unless the frequent set is too large to send to every executor.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from archloom.llm.common import materialise, only
+from archloom.llm.common import materialise, only, scratch_root
 
 STRIP = b" \t\n\x0b\x0c\r"
 COUNTS = "batch int, h1 long, h2 long, n long"
@@ -42,63 +45,99 @@ def texts_of(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, bytes]]:
 
 
 class LineRuns:
-    """Levelled runs of (h1, h2, n) in the shared folder."""
+    """Levelled runs of (h1, h2, n) in the shared folder, as tables bucketed by (h1, h2) and sorted within buckets."""
 
-    def __init__(self, min_docs: int, fanout: int = 3) -> None:
-        self.min_docs, self.fanout = min_docs, fanout
-        self.levels: list[list[DataFrame]] = [[]]
-        self.saturated: list[DataFrame] = []
+    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 3, buckets: int | None = None) -> None:
+        self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[str]] = [[]]
+        self.saturated: list[str] = []
+
+    def state(self) -> dict:
+        """What names the runs, for a later session."""
+        return {"min_docs": self.min_docs, "fanout": self.fanout, "buckets": self.buckets, "levels": self.levels, "saturated": self.saturated}
+
+    @classmethod
+    def restore(cls, spark: SparkSession, state: dict) -> "LineRuns":
+        runs = cls(spark, state["min_docs"], state["fanout"], state["buckets"])
+        runs.levels, runs.saturated = [list(level) for level in state["levels"]], list(state["saturated"])
+        return runs
 
     def add(self, batch: DataFrame) -> None:
+        """Adds the counts (h1, h2, n) of a batch of documents."""
         for run in self.saturated:
-            batch = batch.join(run.hint("merge"), ["h1", "h2"], "left_anti")
-        self.levels[0].append(self._sorted(batch.select("h1", "h2", "n")))
+            batch = batch.join(self.table(run).hint("merge").select("h1", "h2"), ["h1", "h2"], "left_anti")
+        self.levels[0].append(self.write(batch.groupBy("h1", "h2").agg(F.sum("n").alias("n"))))
         for level in range(len(self.levels)):
             if len(self.levels[level]) >= self.fanout:
                 self._compact(level)
 
     def frequent(self) -> DataFrame:
         """Merges every level; the keys in at least min_docs documents."""
-        merged = self._merged([run for level in self.levels for run in level])
-        found = merged.where(F.col("n") >= self.min_docs).select("h1", "h2")
+        found = self._merged([run for level in self.levels for run in level]).where(F.col("n") >= self.min_docs).select("h1", "h2")
         for run in self.saturated:
-            found = found.unionByName(run.select("h1", "h2"))
+            found = found.unionByName(self.table(run).select("h1", "h2"))
         return found.distinct()
 
-    def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        out = runs[0]
-        for run in runs[1:]:
-            out = out.unionByName(run)
-        return out.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+    def laid_out(self, counts: DataFrame) -> DataFrame:
+        """Counts dealt like the runs: the one shuffle of a batch."""
+        return counts.repartition(self.buckets, "h1", "h2")
+
+    def write(self, run: DataFrame) -> str:
+        """A run as a table of its own; gives its place."""
+        path = f"{scratch_root(self.spark)}/run-{uuid.uuid4().hex}"
+        run.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).option("compression", "zstd").saveAsTable(_name(path), format="parquet")
+        return path
+
+    def table(self, path: str) -> DataFrame:
+        """A run; where the session doesn't know it yet, its bucketing is declared anew."""
+        if not self.spark.catalog.tableExists(_name(path)):
+            self.spark.sql(f"CREATE TABLE `{_name(path)}` (h1 BIGINT, h2 BIGINT, n BIGINT) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        return self.spark.table(_name(path))
+
+    def _merged(self, runs: list[str]) -> DataFrame:
+        """The sums over runs; as all are laid out alike, each bucket is merged where it is."""
+        if not runs:
+            return self.spark.createDataFrame([], "h1 long, h2 long, n long")
+        return reduce(DataFrame.unionByName, map(self.table, runs)).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
 
     def _compact(self, level: int) -> None:
-        merged = self._sorted(self._merged(self.levels[level]))
-        self.levels[level] = []
+        merged = self._merged(self.levels[level])
         if level + 1 == len(self.levels):
             self.levels.append([])
-        self.levels[level + 1].append(merged.where(F.col("n") < self.min_docs))
-        self.saturated.append(merged.where(F.col("n") >= self.min_docs).select("h1", "h2"))
+        self.saturated.append(self.write(merged.where(F.col("n") >= self.min_docs)))
+        self.levels[level + 1].append(self.write(merged.where(F.col("n") < self.min_docs)))
+        self.levels[level] = []
+        if len(self.saturated) >= self.fanout:
+            self.saturated = [self.write(self._merged(self.saturated))]
+
 
-    @staticmethod
-    def _sorted(run: DataFrame) -> DataFrame:
-        return materialise(run.repartition("h1", "h2").sortWithinPartitions("h1", "h2"))
+def _name(path: str) -> str:
+    return "archloom_" + path.rsplit("/", 1)[1].replace("-", "_")
 
 
-def key_counts(docs: DataFrame, text_column: str, min_chars: int, batches: int) -> DataFrame:
-    """(batch, h1, h2, n): how many documents of a batch hold a key. A row's batch is drawn from its text's hash."""
+def key_counts(docs: DataFrame, text_column: str, min_chars: int, batches: int = 1, most_keys: int = 100_000) -> DataFrame:
+    """(batch, h1, h2, n): in how many documents that a task has read one after the other a key was; a key may come again.
+    A row's batch is drawn from its text's hash. A task holds `most_keys` keys and those of one text."""
+
+    def rows(seen: list[Counter[bytes]]) -> Iterator[pa.RecordBatch]:
+        for at, counter in enumerate(seen):
+            if counter:
+                h = hashes(list(counter))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), at, dtype=np.int32)), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(list(counter.values()), type=pa.int64())], names=["batch", "h1", "h2", "n"])
+                counter.clear()
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: list[Counter[bytes]] = [Counter() for _ in range(batches)]
         for part in parts:
-            seen: list[Counter[bytes]] = [Counter() for _ in range(batches)]
             for _, text in texts_of(part, text_column):
                 keys = {key_of(line) for line in text.split(b"\n")}
-                seen[xxhash.xxh3_64_intdigest(text) % batches].update(k for k in keys if k and (len(k) >= 4 * min_chars or len(k.decode()) >= min_chars))
-            for at, counter in enumerate(seen):
-                if counter:
-                    h = hashes(list(counter))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), at, dtype=np.int32)), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(list(counter.values()), type=pa.int64())], names=["batch", "h1", "h2", "n"])
+                seen[xxhash.xxh3_64_intdigest(text) % batches if batches > 1 else 0].update(k for k in keys if k and (len(k) >= 4 * min_chars or len(k.decode()) >= min_chars))
+                if sum(map(len, seen)) >= most_keys:
+                    yield from rows(seen)
+        yield from rows(seen)
 
-    return only(docs, text_column).mapInArrow(count, COUNTS).groupBy("batch", "h1", "h2").agg(F.sum("n").alias("n"))
+    return only(docs, text_column).mapInArrow(count, COUNTS)
 
 
 def line_dedup(docs: DataFrame, text_column: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int = 4, broadcast_keys: int = 1_000_000) -> DataFrame:
@@ -113,12 +152,22 @@ def line_dedup(docs: DataFrame, text_column: str = "text", min_docs: int = 10, m
     give way). Up to `broadcast_keys` frequent keys (16 bytes each) are sent to the executors; beyond that,
     the dropped line numbers are found by a shuffled join, with the same result.
     """
-    docs = docs.drop("n_lines", "n_dropped")
-    counts = materialise(key_counts(docs, text_column, min_chars, batches))
-    runs = LineRuns(min_docs)
+    runs = LineRuns(docs.sparkSession, min_docs)
+    counts = runs.laid_out(key_counts(docs, text_column, min_chars, batches)).groupBy("batch", "h1", "h2").agg(F.sum("n").alias("n"))
+    counts = runs.table(runs.write(counts))  # the texts are read once; each batch is a part of this table, laid out like the runs
     for batch in range(batches):
-        runs.add(counts.where(F.col("batch") == batch))
-    frequent = materialise(runs.frequent())
+        runs.add(counts.where(F.col("batch") == batch).select("h1", "h2", "n"))
+    return without_lines(docs, materialise(runs.frequent()), text_column, broadcast_keys)
+
+
+def add_batch(runs: LineRuns, docs: DataFrame, text_column: str = "text", min_chars: int = 1) -> None:
+    """Adds the lines of a further batch of documents to stored runs."""
+    runs.add(runs.laid_out(key_counts(docs, text_column, min_chars)).select("h1", "h2", "n"))
+
+
+def without_lines(docs: DataFrame, frequent: DataFrame, text_column: str = "text", broadcast_keys: int = 1_000_000) -> DataFrame:
+    """docs without the lines whose keys are among the frequent ones (h1, h2; materialised). See line_dedup."""
+    docs = docs.drop("n_lines", "n_dropped")
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     if frequent.limit(broadcast_keys + 1).count() <= broadcast_keys:
         known = frequent.toArrow()

@@ -6,7 +6,7 @@ from tests.llm import brute
 
 from archloom.llm import queries
 from archloom.llm.decontamination import decontaminate, without_contaminated
-from archloom.llm.line_dedup import line_dedup
+from archloom.llm.line_dedup import LineRuns, add_batch, line_dedup, without_lines
 from archloom.llm.token_counts import Transducer, token_counts
 
 
@@ -118,3 +118,24 @@ def test_items_without_id_hit_and_clean(spark):
     bench = spark.createDataFrame([(None, "b c")], "item_id long, text string")
     assert by_id(decontaminate(docs, bench)) == {1: (3, 2, 0, [], True), 2: (1, 0, 0, [], False)}
     assert [r.doc_id for r in without_contaminated(docs, bench).collect()] == [2]
+
+
+def test_later_batches_are_added_to_stored_runs(spark):
+    r = random.Random(7)
+    rows = [(i, "\n".join(f"line {r.randrange(3 + i % 7)}" if r.random() < 0.7 else f"own {i} {k}" for k in range(r.randint(0, 12)))) for i in range(220)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = LineRuns(spark, min_docs=25, fanout=3, buckets=5)
+    for batch in range(11):
+        add_batch(runs, docs.where(f"doc_id % 11 = {batch}"))
+        for level, own in enumerate(runs.levels):
+            assert len(own) < 3 and sum(3**k * len(x) for k, x in enumerate(runs.levels)) == batch + 1, level
+        for path in [x for own in runs.levels for x in own] + runs.saturated:
+            spark.sql(f"DROP TABLE IF EXISTS archloom_{path.rsplit('/', 1)[1].replace('-', '_')}")  # as in another session
+        runs = LineRuns.restore(spark, runs.state())
+        read = [x for x in rows if x[0] % 11 <= batch]
+        if batch in (0, 4, 10):
+            out = without_lines(spark.createDataFrame(read, "doc_id long, text string"), runs.frequent())
+            assert {x.doc_id: (x.n_lines, x.n_dropped, brute.sha(x.text)) for x in out.collect()} == brute.line_deduped(read, 25)
+    assert 0 < len(runs.saturated) < 3
+    plan = runs._merged([x for own in runs.levels for x in own])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
