@@ -14,7 +14,6 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +46,7 @@ def texts_of(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, bytes]]:
 class LineRuns:
     """Levelled runs of (h1, h2, n) in the shared folder, as tables bucketed by (h1, h2) and sorted within buckets."""
 
-    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 3, buckets: int | None = None) -> None:
+    def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 2, buckets: int | None = None) -> None:
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
@@ -73,11 +72,11 @@ class LineRuns:
                 self._compact(level)
 
     def frequent(self) -> DataFrame:
-        """Merges every level; the keys in at least min_docs documents."""
+        """Merges every level; the keys in at least min_docs documents. One that saturated early may come twice."""
         found = self._merged([run for level in self.levels for run in level]).where(F.col("n") >= self.min_docs).select("h1", "h2")
         for run in self.saturated:
             found = found.unionByName(self.table(run).select("h1", "h2"))
-        return found.distinct()
+        return found
 
     def laid_out(self, counts: DataFrame) -> DataFrame:
         """Counts dealt like the runs: the one shuffle of a batch."""
@@ -96,10 +95,17 @@ class LineRuns:
         return self.spark.table(_name(path))
 
     def _merged(self, runs: list[str]) -> DataFrame:
-        """The sums over runs; as all are laid out alike, each bucket is merged where it is."""
+        """The sums over runs, two at a time by a merge join; as all are laid out alike, each bucket is merged where it is."""
         if not runs:
             return self.spark.createDataFrame([], "h1 long, h2 long, n long")
-        return reduce(DataFrame.unionByName, map(self.table, runs)).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+        first, *rest = runs
+        for number, run in enumerate(rest, 1):
+            other = self.table(run).withColumnRenamed("n", "m")
+            both = self.table(first).hint("merge").join(other, ["h1", "h2"], "full_outer").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
+            if number == len(rest):
+                return both
+            first = self.write(both)
+        return self.table(first)
 
     def _compact(self, level: int) -> None:
         merged = self._merged(self.levels[level])

@@ -137,5 +137,10 @@ def test_later_batches_are_added_to_stored_runs(spark):
             out = without_lines(spark.createDataFrame(read, "doc_id long, text string"), runs.frequent())
             assert {x.doc_id: (x.n_lines, x.n_dropped, brute.sha(x.text)) for x in out.collect()} == brute.line_deduped(read, 25)
     assert 0 < len(runs.saturated) < 3
-    plan = runs._merged([x for own in runs.levels for x in own])._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "Bucketed: true" in plan
+    sums = {}
+    for path in [x for own in runs.levels for x in own]:
+        for x in runs.table(path).collect():
+            sums.setdefault((path, x.h1, x.h2), []).append(x.n)
+    assert all(len(n) == 1 for n in sums.values())  # a key stands once in a run
+    plan = runs._merged([x for own in runs.levels for x in own][:2])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan and "SortMergeJoin" in plan
