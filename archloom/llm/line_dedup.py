@@ -146,7 +146,7 @@ def key_counts(docs: DataFrame, text_column: str, min_chars: int, batches: int =
     return only(docs, text_column).mapInArrow(count, COUNTS)
 
 
-def line_dedup(docs: DataFrame, text_column: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int = 4, broadcast_keys: int = 1_000_000) -> DataFrame:
+def line_dedup(docs: DataFrame, text_column: str = "text", min_docs: int = 10, min_chars: int = 1, batches: int = 3, broadcast_keys: int = 1_000_000) -> DataFrame:
     """Removes every line whose key is found in at least `min_docs` documents.
 
     A key is the line without ASCII white space at both ends, A-Z lower-cased. Keys of fewer than `min_chars` code

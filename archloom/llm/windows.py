@@ -248,7 +248,6 @@ def by_load(made: DataFrame, target_bytes: int, most_rows: int) -> tuple[DataFra
     total = made.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
     tasks = 1 + total // target_bytes
     hot = made.groupBy("gram").count().where(F.col("count") > most_rows).select("gram")
-    hot = materialise(hot)
     return made.join(hot, "gram", "left_anti").withColumn("task", F.pmod(F.xxhash64("gram"), F.lit(tasks))), made.join(hot, "gram", "left_semi")
 
 
