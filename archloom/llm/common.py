@@ -44,6 +44,17 @@ def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few_files(spark: SparkSession) -> int:
+    """Files of a table that is small against what was shuffled for it: a quarter of the shuffle's partitions, but one for each
+    core. Each file costs its task several calls of the file system, on a local one several processes."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+
+
+def materialise_few(df: DataFrame) -> DataFrame:
+    """materialise, in few files."""
+    return materialise(df.coalesce(few_files(df.sparkSession)))
+
+
 #: Rows in an Arrow batch of texts: the default of 10,000 holds tens of MB in several buffers of each task.
 BATCH_ROWS = 1000
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from archloom.llm.common import materialise, only, scratch_root
+from archloom.llm.common import few_files, materialise_few, only, scratch_root
 
 STRIP = b" \t\n\x0b\x0c\r"
 COUNTS = "batch int, h1 long, h2 long, n long"
@@ -48,7 +48,7 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, min_docs: int, fanout: int = 2, buckets: int | None = None) -> None:
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets or few_files(spark)
         self.levels: list[list[str]] = [[]]
         self.saturated: list[str] = []
 
@@ -163,7 +163,7 @@ def line_dedup(docs: DataFrame, text_column: str = "text", min_docs: int = 10, m
     counts = runs.table(runs.write(counts))  # the texts are read once; each batch is a part of this table, laid out like the runs
     for batch in range(batches):
         runs.add(counts.where(F.col("batch") == batch).select("h1", "h2", "n"))
-    return without_lines(docs, materialise(runs.frequent()), text_column, broadcast_keys)
+    return without_lines(docs, materialise_few(runs.frequent()), text_column, broadcast_keys)
 
 
 def add_batch(runs: LineRuns, docs: DataFrame, text_column: str = "text", min_chars: int = 1) -> None:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from archloom.llm.common import arrow_type, byte_rows, materialise, only
+from archloom.llm.common import arrow_type, byte_rows, materialise, materialise_few, only
 from archloom.llm.components import connected_components
 from archloom.llm.hashing import U, digest, joined_texts, mix, scrambled, words_in
 
@@ -361,18 +361,18 @@ def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
 def _of_unique_ids(docs: DataFrame, id_column: str, text_column: str, rules: NearRules) -> DataFrame:
     made = materialise(signatures(docs, id_column, text_column, rules))
     known = made.where(F.col("id").isNotNull())
-    reps = materialise(known.where(F.col("n") > 0).groupBy("same").agg(F.min("id").alias("rep")))
+    reps = materialise_few(known.where(F.col("n") > 0).groupBy("same").agg(F.min("id").alias("rep")))
     of = reps.select(F.col("rep").alias("id"), "same")
-    speakers = materialise(known.join(of, ["id", "same"], "left_semi").select(F.col("id").alias("rep"), "keys", "sig"))
+    speakers = materialise_few(known.join(of, ["id", "same"], "left_semi").select(F.col("id").alias("rep"), "keys", "sig"))
 
     sigs = speakers.select("rep", "sig")
     buckets = speakers.select(F.explode("keys").alias("key"), "rep")
-    pivots = materialise(buckets.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("m")).where(F.col("m") > 1).select("key", "a"))
-    held = materialise(buckets.join(pivots, "key"))  # plain scans on both sides, so that a skewed bucket is split at run time
+    pivots = materialise_few(buckets.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("m")).where(F.col("m") > 1).select("key", "a"))
+    held = materialise_few(buckets.join(pivots, "key"))  # plain scans on both sides, so that a skewed bucket is split at run time
     tried = held.where(F.col("a") != F.col("rep")).select("a", F.col("rep").alias("b")).distinct()
     sig = lambda name, out: sigs.select(F.col("rep").alias(name), F.col("sig").alias(out))
     likely = tried.join(sig("b", "y"), "b").join(sig("a", "x"), "a").where(mismatches(F.col("x"), F.col("y"), rules) <= rules.most_mismatches()).select("a", "b")
-    links = materialise(confirmed(materialise(likely), docs, id_column, text_column, rules))
+    links = materialise_few(confirmed(materialise_few(likely), docs, id_column, text_column, rules))
     groups = connected_components(links)
 
     component = F.coalesce("component", "rep").alias("component")
@@ -380,7 +380,7 @@ def _of_unique_ids(docs: DataFrame, id_column: str, text_column: str, rules: Nea
     clusters = connected_components(across(placed, sigs, rules))
     if clusters.limit(1).count():
         apart = placed.select("rep", "component").distinct().join(clusters.select(F.col("id").alias("component"), F.col("component").alias("cluster")), "component")
-        apart = materialise(apart)
+        apart = materialise_few(apart)
         sets = full_sets(docs.join(apart.select(F.col("rep").alias(id_column)), id_column, "left_semi"), id_column, text_column, rules)
         found = settled(apart, sigs, sets.withColumnRenamed("id", "rep"), rules)
         groups = connected_components(links.unionByName(found))

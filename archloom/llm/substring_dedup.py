@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archloom.llm.common import byte_rows, materialise, only
+from archloom.llm.common import byte_rows, materialise_few, only
 from archloom.llm.hashing import joined_texts, scrambled, words_in
 from archloom.llm.windows import MADE, Seen, by_content, by_load, covered, keyed, met, per_text, pieces, ranges_of, rows_of, text_stretches
 
@@ -122,8 +122,8 @@ def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str
         return [words[lo : hi + size].tobytes() for lo, hi in spans]
 
     made = rows.select("_k", "_text").mapInArrow(cut, MADE)
-    found = materialise(met(made))
-    open_ = materialise(pieces(found, rows, contents, PIECE))
+    found = materialise_few(met(made))
+    open_ = materialise_few(pieces(found, rows, contents, PIECE))
     dealt, hot = by_load(open_, task_bytes, most_rows)
     settled = dealt.groupBy("task").applyInPandas(lambda part: all_copies(part, size), RANGE)
     ranges = found.where(~F.col("open")).select("k", "lo", "hi").unionByName(settled).unionByName(by_content(hot, 16, size, True))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archloom.llm.common import byte_rows, materialise, only
+from archloom.llm.common import byte_rows, materialise_few, only
 from archloom.llm.hashing import TABLE, joined_texts
 from archloom.llm.windows import MADE, Seen, by_content, by_load, covered, keyed, met, per_text, pieces, ranges_of, rows_of, text_stretches
 
@@ -147,8 +147,8 @@ def suffix_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             yield rows_of(text_stretches(lambda a, b: (TABLE[buffer[a:b]], buffer[a:b]), at[:-1], at[1:] - 1, size, gram), ids, seen)
 
     made = rows.select("_k", "_text").mapInArrow(cut, MADE)
-    found = materialise(met(made))
-    open_ = materialise(pieces(found, rows, lambda text, spans: [text[lo : hi + size] for lo, hi in spans], PIECE))
+    found = materialise_few(met(made))
+    open_ = materialise_few(pieces(found, rows, lambda text, spans: [text[lo : hi + size] for lo, hi in spans], PIECE))
     dealt, hot = by_load(open_, task_bytes, most_rows)
     settled = dealt.groupBy("task").applyInPandas(lambda part: later_copies(part, size), RANGE)
     ranges = found.where("again").select("k", "lo", "hi").unionByName(settled).unionByName(by_content(hot, 1, size, False))
