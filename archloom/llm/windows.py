@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from archloom.llm.common import materialise
+from archloom.llm.common import materialise, materialise_few
 from archloom.llm.hashing import BASE, U, digest, mix
 
 LOW = U(0xFFFFFFFF)
@@ -247,7 +247,8 @@ def by_load(made: DataFrame, target_bytes: int, most_rows: int) -> tuple[DataFra
     """(rows with a task number, rows of grams too large for a task). Tasks hold about target_bytes of pieces."""
     total = made.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
     tasks = 1 + total // target_bytes
-    hot = made.groupBy("gram").count().where(F.col("count") > most_rows).select("gram")
+    # written, so that its size is known: while it is small it is broadcast, and the pieces aren't shuffled by gram
+    hot = materialise_few(made.groupBy("gram").count().where(F.col("count") > most_rows).select("gram"))
     return made.join(hot, "gram", "left_anti").withColumn("task", F.pmod(F.xxhash64("gram"), F.lit(tasks))), made.join(hot, "gram", "left_semi")
 
 
