@@ -45,9 +45,9 @@ def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
 
 
 def few_files(spark: SparkSession) -> int:
-    """Files of a table that is small against what was shuffled for it: a quarter of the shuffle's partitions, but one for each
-    core. Each file costs its task several calls of the file system, on a local one several processes."""
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    """Files of a table that is small against what was shuffled for it: half of the shuffle's partitions, but one for each core.
+    Each file costs its task several calls of the file system, on a local one several processes."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
 
 
 def materialise_few(df: DataFrame) -> DataFrame:
