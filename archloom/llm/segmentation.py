@@ -1,9 +1,11 @@
 """N-best segmentation of whole texts over a sentencepiece vocabulary, and decoding.
 
 No piece crosses a space that follows another character, nor a line feed, so the lattice of a text is a chain of
-unit lattices. A unit's forward Viterbi scores are exact heuristics for an A* search that runs backward from its
-end: hypotheses leave the queue in order of their whole score. Unit results are kept, and a text's N best
-are put together from the few units with the cheapest alternatives.
+unit lattices. Forward Viterbi scores are exact heuristics for an A* search that runs backward from the end. Under an exact
+heuristic the edge that loses nothing is always at the head of the queue, so the first hypothesis follows these edges without
+one; the further ones leave the queue in order of their whole score. A hypothesis of rank n changes at most n - 1 units, and only
+such as have the cheapest changes: the search of a text's N best is thus run on those units alone and put together over the
+chain. Unit results are kept.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from heapq import heappop, heappush, nsmallest
 from itertools import chain
 from math import inf
@@ -228,6 +231,12 @@ class Vocabulary(dict):
         return b"".join(map(self.spelled.__getitem__, ids)).decode(errors="replace")[1:]
 
 
+@lru_cache(maxsize=2)
+def shared(model_file: str, n_best: int = 4) -> Vocabulary:
+    """The vocabulary of a worker: units that one task has worked out serve the next."""
+    return Vocabulary(model_file, n_best)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], text_column: str, rows: int = 1024, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of at most `rows` rows and about `limit` bytes of text; a longer text comes alone."""
     for batch in batches:
@@ -256,7 +265,7 @@ def encode_texts(docs: DataFrame, model_file: str, id_column: str = "doc_id", te
     schema = T.StructType([T.StructField(*f) for f in (fields if with_ids else fields[:-1])])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(model_file, n_best)
+        vocabulary = shared(model_file, n_best)
         rivals_type = pa.list_(pa.struct([("loss", pa.float64()), ("edits", pa.string())]))
         for batch in sliced(batches, text_column):
             out: list[list] = [[] for _ in fields[1:]]
@@ -280,7 +289,7 @@ def decode_ids(encoded: DataFrame, model_file: str, ids_column: str = "ids", tex
     schema = T.StructType([*encoded.schema.fields, T.StructField(text_column, T.StringType())])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(model_file)
+        vocabulary = shared(model_file)
         for batch in batches:
             texts = [None if x.as_py() is None else vocabulary.decode(x.as_py()) for x in batch.column(ids_column)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, type=pa.string())], names=[*batch.schema.names, text_column])

@@ -22,6 +22,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -208,6 +209,12 @@ class Transducer:
         return self.states.setdefault(key, State(*key))
 
 
+@lru_cache(maxsize=2)
+def compiled(model_file: str) -> Transducer:
+    """The transducer of a worker: what one task compiles serves the next."""
+    return Transducer(model_file)
+
+
 CHUNK = "digest binary, at long, head string, tokens long, tail string"
 
 
@@ -224,7 +231,7 @@ def token_counts(docs: DataFrame, model_file: str, id_column: str = "doc_id", te
     is_long = F.coalesce(F.length("text") > split_chars, F.lit(False))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transducer = Transducer(model_file)
+        transducer = compiled(model_file)
         for batch in batches:
             n = [transducer.count(t.as_py() or "") for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), pa.array(n, type=pa.int64())], names=["id", "n_bytes", "n_tokens"])
@@ -247,7 +254,7 @@ def chunk_maps(long: DataFrame, model_file: str, chunk_chars: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([name.as_py()], type=pa.binary()), pa.array([at], type=pa.int64()), pa.array([whole[at : at + chunk_chars]])], names=["digest", "at", "chunk"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transducer = Transducer(model_file)
+        transducer = compiled(model_file)
         for batch in batches:
             maps = [transducer.chunk(c.as_py()) for c in batch.column("chunk")]
             tails = [transducer.packed(m.tail) for m in maps]
@@ -261,7 +268,7 @@ def composed(maps: DataFrame, model_file: str) -> DataFrame:
     through one task, which holds one state; repeated texts bring each map again, which is passed over."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transducer = Transducer(model_file)
+        transducer = compiled(model_file)
         name, place, state, total = None, -1, transducer.start, 0
         out: list[tuple[bytes, int]] = []
         for batch in batches:
