@@ -39,8 +39,8 @@ class NearRules:
     bits: int = 2
     #: standard deviations by which an estimate may fall short of the threshold
     sigmas: float = 6.0
-    #: members of a bucket compared in one task
-    block: int = 4096
+    #: members of a bucket in one block; two blocks meet in a task, so pairs within a block alone are looked at from both sides
+    block: int = 512
     #: full sets compared in one task
     set_block: int = 1024
 
