@@ -27,7 +27,7 @@ def node_degrees(spark: S, d: str) -> D:
 
 def _scored(spark: S, d: str, edges: D | None = None) -> D:
     nodes = adapter.graph_nodes(spark, d)
-    found = graph.degrees(nodes, adapter.graph_edges(spark, d) if edges is None else edges).join(nodes, "id")
+    found = graph.degrees(nodes, adapter.graph_edges(spark, d) if edges is None else edges).join(nodes.hint("merge"), "id")
     return graph.importance(saved(found), digits=None)  # read twice: for the maxima and for the rows
 
 

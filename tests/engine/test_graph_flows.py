@@ -156,6 +156,22 @@ def test_placed_implementors_beyond_the_joined_ranks_are_not_omitted(spark):
     assert omitted(got) == sorted(want_left) and ("flow:S", "S", "I", 150 - 2 - 8) in want_left
 
 
+def test_symbols_meet_implementors_only_for_the_frontier(spark, monkeypatch):
+    """500 declarations say a key of 60 implementors, two of them are traced: no table of 30,000 rows is written."""
+    impls, says = [f"i{k:02d}" for k in range(60)], [f"n{k:03d}" for k in range(500)]
+    index = spark.createDataFrame([("I", x, 60, k + 1) for k, x in enumerate(impls)], "key string, impl string, impls long, rank int")
+    nodes = spark.createDataFrame([(x, "L") for x in [*impls, *says]], "id string, layer string")
+    edges = spark.createDataFrame([("n000", "n002", "uses"), ("n001", "i05", "uses")], "src string, dst string, kind string")
+    refs = spark.createDataFrame([(x, ["I"]) for x in says], "id string, refs array<string>")
+    seeds, hubs = spark.createDataFrame([("n000",), ("n001",)], "id string"), spark.createDataFrame([], "id string")
+    written = []
+    monkeypatch.setattr(flows, "saved", lambda df, f=flows.saved: (out := f(df), written.append(out.count()))[0])
+    want = {"flow:n000": ["n000", "n002", *impls[:16]], "flow:n001": ["n001", "i05", *[i for i in impls if i != "i05"][:8]]}
+    assert orders(flows.trace_flows(seeds, nodes, edges, hubs, index, refs)) == want
+    assert max(written) <= 600
+    assert orders(flows.trace_flows(seeds, nodes, edges, hubs, index, refs, few=0)) == want
+
+
 def test_traces_of_small_graphs(spark):
     assert orders(trace(spark, ["U"], [], [("U", "A"), ("A", "U")])) == {"flow:U": ["U", "A"]}
     d = trace(spark, ["U"], [], [], refs=[("U", ["pkg.I<T>"])], index=[("I", "A"), ("I", "B"), ("I", "C")], max_fanout=2)
