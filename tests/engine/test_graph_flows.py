@@ -63,6 +63,15 @@ def test_common_names_are_not_paired_with_all_that_bear_them(spark, monkeypatch)
     assert edges_of(graph.resolve_edges(rows)) == {("c", "e", "uses")}  # rows of one declaration speak for it together
 
 
+def test_common_names_aren_t_joined_row_by_row(spark):
+    """300 users of a name that 300 declarations of one file bear: no join makes 90,000 rows."""
+    d = decls(spark, *[(f"u.x{k}", "u.py", ["go"]) for k in range(300)], *[(f"t{k}.go", "t.py", []) for k in range(300)], ("t9.own", "v.py", ["go"]))
+    found = graph.resolve_edges(d)
+    assert edges_of(found) == {("t9.own", "t9.go", "uses")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "'short" not in plan and not any("short" in x for x in plan.splitlines() if "Join" in x)  # names meet before, in reduced tables
+
+
 def test_private_penalty_core_and_hubs(spark):
     rows = spark.createDataFrame([(f"m.a{i}", i, 0, v) for i, v in enumerate(["public", "private"] * 20)], "id string, in_degree long, out_degree long, visibility string")
     got = {r.id: r.importance for r in graph.importance(rows, digits=None).collect()}
